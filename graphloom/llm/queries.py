@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from graphloom.llm.byte_bpe import op8_byte_bpe
+from graphloom.llm.lang_id import op1_language_id
+from graphloom.llm.secrets import op2_secret_scan
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_secret_scan": op2_secret_scan,
     "op8_byte_bpe": op8_byte_bpe,
 }
 
