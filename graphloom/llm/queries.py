@@ -3,13 +3,22 @@
 from __future__ import annotations
 
 from graphloom.llm.byte_bpe import op8_byte_bpe
+from graphloom.llm.fingerprints import op6_fingerprints
+from graphloom.llm.html_text import op10_html_text
 from graphloom.llm.lang_id import op1_language_id
+from graphloom.llm.mixing import ORACLE_SQL as MIXING_SQL
+from graphloom.llm.mixing import op7_source_mixing
 from graphloom.llm.secrets import op2_secret_scan
 
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_secret_scan": op2_secret_scan,
+    "op6_fingerprints": op6_fingerprints,
+    "op7_source_mixing": op7_source_mixing,
     "op8_byte_bpe": op8_byte_bpe,
+    "op10_html_text": op10_html_text,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_source_mixing": MIXING_SQL,
+}
