@@ -56,3 +56,21 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     Extra columns never reach an operator's inner frames, so their names can't clash there.
     """
     return df.select(*[F.col(f"`{n}`") if n in df.columns else F.lit(None).alias(n) for n in names])
+
+
+#: Bits of the bitmap that sifts keys before their join: a fixed 1 MiB, whatever the input.
+BITS = 23
+
+
+def bitmap(keys: DataFrame, key: str) -> DataFrame:
+    """At most 2^(BITS-6) rows: a word's number and its 64 bits."""
+    low = F.col(key).bitwiseAND((1 << BITS) - 1)
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), low.bitwiseAND(63).cast("int"))
+    return keys.groupBy(F.shiftright(low, 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+
+
+def sift(df: DataFrame, key: str, bitmap: DataFrame) -> DataFrame:
+    """Rows whose key may be among the bitmap's; none of those that are is lost."""
+    low = F.col(key).bitwiseAND((1 << BITS) - 1)
+    bit = F.call_function("shiftright", F.col("bits"), low.bitwiseAND(63).cast("int")).bitwiseAND(1)
+    return df.join(F.broadcast(bitmap), F.shiftright(low, 6) == F.col("word")).where(bit == 1).drop("word", "bits")

@@ -16,28 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialize, only, table
+from graphloom.llm.common import bitmap, materialize, only, sift, table
 
 #: Shorter lines are compared for equality alone: one edit is much of a short line.
 LEAST = 16
 #: Characters of one hash block of a variant.
 BLOCK = 64
-#: Bits of the bitmap that sifts keys before their join: a fixed 1 MiB, whatever the input.
-BITS = 23
-
-
-def _bitmap(keys: DataFrame, key: str) -> DataFrame:
-    """At most 2^(BITS-6) rows: a word's number and its 64 bits."""
-    low = F.col(key).bitwiseAND((1 << BITS) - 1)
-    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), low.bitwiseAND(63).cast("int"))
-    return keys.groupBy(F.shiftright(low, 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
-
-
-def _sift(df: DataFrame, key: str, bitmap: DataFrame) -> DataFrame:
-    """Rows whose key may be among the bitmap's; none of those that are is lost."""
-    low = F.col(key).bitwiseAND((1 << BITS) - 1)
-    bit = F.call_function("shiftright", F.col("bits"), low.bitwiseAND(63).cast("int")).bitwiseAND(1)
-    return df.join(F.broadcast(bitmap), F.shiftright(low, 6) == F.col("word")).where(bit == 1).drop("word", "bits")
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -111,7 +95,7 @@ def near_lines(docs: DataFrame, distinct: DataFrame, least: int = LEAST) -> Data
     """``h1, h2`` of each distinct line of ``least`` characters or more that is one edit from an earlier one."""
     lines = lines_of(docs).where(F.col("n") >= least).select("line", "n", "h1", "h2")
     shared = materialize(_shared(_gap_keys(lines, 1)), "gap-keys")
-    sifted = _sift(_gap_keys(lines, 1), "key", _bitmap(shared, "key"))
+    sifted = sift(_gap_keys(lines, 1), "key", bitmap(shared, "key"))
     wide = sifted.join(shared, "key", "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line"), F.first("n").alias("n"))
     wide = materialize(wide.join(distinct.select("h1", "h2", "first"), ["h1", "h2"]), "gap-wide")
     keyed = _gap_keys(wide, 16)
