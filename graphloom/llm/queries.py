@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from graphloom.llm.byte_bpe import op8_byte_bpe
+from graphloom.llm.embedding_dedup import op9_embedding_dedup
 from graphloom.llm.fingerprints import op6_fingerprints
 from graphloom.llm.html_text import op10_html_text
 from graphloom.llm.lang_id import op1_language_id
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_fingerprints": op6_fingerprints,
     "op7_source_mixing": op7_source_mixing,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_embedding_dedup": op9_embedding_dedup,
     "op10_html_text": op10_html_text,
 }
 
