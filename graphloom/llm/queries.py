@@ -13,11 +13,13 @@ from graphloom.llm.mixing import ORACLE_SQL as MIXING_SQL
 from graphloom.llm.mixing import op7_source_mixing
 from graphloom.llm.near_dedup import op5_near_dedup
 from graphloom.llm.secrets import op2_secret_scan
+from graphloom.llm.suffix_dedup import op4_suffix_dedup
 
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_secret_scan": op2_secret_scan,
     "op3_line_dedup": op3_line_dedup,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_near_dedup": op5_near_dedup,
     "op6_fingerprints": op6_fingerprints,
     "op7_source_mixing": op7_source_mixing,
