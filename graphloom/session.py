@@ -56,3 +56,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that ``materialize`` wrote, once nothing is to read it again."""
+    spark = df.sparkSession
+    top = f"{shared_dir(spark).rstrip('/')}/tables/"
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        if path.toUri().getPath().startswith(jvm.org.apache.hadoop.fs.Path(top).toUri().getPath()):
+            path.getFileSystem(conf).delete(path, True)
