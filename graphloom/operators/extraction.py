@@ -161,8 +161,8 @@ class Extraction:
 def from_payloads(chunks: DataFrame, called: DataFrame) -> Extraction:
     """Ids get their chunk's prefix, endpoints of relations as well."""
     parsed = called.withColumn("p", F.from_json("payload", PAYLOAD))
-    bad = F.col("error").isNull() & F.col("p").isNull()
-    errors = called.withColumn("p", F.from_json("payload", PAYLOAD)).where(F.col("error").isNotNull() | bad)
+    # What isn't JSON of the form parses to null fields.
+    errors = parsed.where(F.col("error").isNotNull() | (F.col("p.entities").isNull() & F.col("p.relations").isNull()))
     scoped = lambda c: chunk_scoped_id(F.col("chunk_id"), c)
     entities = parsed.select("doc_id", "chunk_id", F.posexplode("p.entities").alias("pos", "e")).select(
         "doc_id", "chunk_id", "pos", scoped(F.col("e.id")).alias("id"), "e.label", "e.type"
