@@ -249,75 +249,51 @@ def host_of(url="url"):
     return F.lower(F.coalesce(F.regexp_extract(F.col(url).cast("string"), HOST, 1), F.lit("")))
 
 
-def vote(pages: DataFrame) -> DataFrame:
-    """``page_id, url, host, path, text, k``: each page's own best path and the text under it.
+def winning_paths(pages: DataFrame) -> DataFrame:
+    """``host, path``: the path that most pages of a host vote for; the first by name among equals.
 
-    ``path`` is null for a page without text, which has no vote. ``k`` is the html's hash.
+    Pages without text don't vote.
     """
 
     def make():
         def run(c):
-            out = {k: c[k] for k in ("page_id", "url", "host", "k")} | {"path": [], "text": []}
+            paths = []
             for html in c["html"]:
                 page = Page(html or "")
-                path = page.containers[page.best()][1] if page.blocks else None
-                out["path"].append(path)
-                out["text"].append(page.text(path))
-            return out
+                paths.append(page.containers[page.best()][1] if page.blocks else None)
+            return {"host": c["host"], "path": paths}
 
         return run
 
-    return arrow_map(
-        pages.select("page_id", "url", host_of().alias("host"), F.xxhash64("html").alias("k"), "html"), make,
-        "page_id bigint, url string, host string, k bigint, path string, text string",
-    )
-
-
-def winning_paths(votes: DataFrame) -> DataFrame:
-    """``host, path``: the path that most pages of a host vote for; the first by name among equals."""
-    counts = votes.where("path is not null").groupBy("host", "path").agg(F.count("*").alias("votes"))
+    voted = arrow_map(pages.select(host_of().alias("host"), "html"), make, "host string, path string")
+    counts = voted.where("path is not null").groupBy("host", "path").agg(F.count("*").alias("votes"))
     return counts.groupBy("host").agg(F.min_by("path", F.struct(-F.col("votes"), "path")).alias("path"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, text`` for every row of ``pages`` (``page_id, url, html``).
 
-    Pages that voted for their host's winner have been extracted from it; the others are extracted
-    again from their html. Null html counts as empty and gives empty text. Pages with null urls or urls
-    without a host vote together. Rows stay one to one, repeated rows included; extra columns are left
-    out.
+    Null html counts as empty and gives empty text. Pages with null urls or urls without a host vote
+    together. Rows stay one to one, repeated rows included; extra columns are left out.
     """
     pages = only(pages, "page_id", "url", "html").select(
         F.col("page_id").cast("bigint").alias("page_id"),
         F.col("url").cast("string").alias("url"),
         F.col("html").cast("string").alias("html"),
     )
-    votes = materialize(vote(pages), "page-votes")
-    winners = materialize(winning_paths(votes), "host-paths").select(F.col("host").alias("won_by"), F.col("path").alias("won"))
+    winners = materialize(winning_paths(pages), "host-paths").withColumnRenamed("host", "won_by")
     if winners.limit(FEW_HOSTS + 1).count() <= FEW_HOSTS:
         winners = F.broadcast(winners)
-    judged = votes.join(winners, F.col("host") == F.col("won_by"), "left")
-    outvoted = F.col("path").isNotNull() & (F.col("path") != F.col("won"))
-    agreed = judged.where(~outvoted).select("page_id", "url", "text")
-    again = judged.where(outvoted).select(
-        F.col("page_id").alias("p"), F.col("url").alias("u"), F.col("k").alias("h"), "won"
-    )
-    # Equal rows have equal texts: they are extracted once and counted.
-    again = again.groupBy("p", "u", "h", "won").agg(F.count("*").alias("copies"))
-    source = pages.select("page_id", "url", "html", F.xxhash64("html").alias("k")).join(
-        again.select("p", "u", "h", "won", "copies"),
-        F.col("page_id").eqNullSafe(F.col("p")) & F.col("url").eqNullSafe(F.col("u")) & (F.col("k") == F.col("h")),
-    )
+    both = pages.withColumn("host", host_of()).join(winners, F.col("host") == F.col("won_by"), "left")
 
     def make():
         def run(c):
-            text = [Page(h or "").text(p) for h, p in zip(c["html"], c["won"], strict=True)]
+            text = [Page(h or "").text(p) for h, p in zip(c["html"], c["path"], strict=True)]
             return {"page_id": c["page_id"], "url": c["url"], "text": text}
 
         return run
 
-    redone = arrow_map(source.select("page_id", "url", "html", "won"), make, "page_id bigint, url string, text string")
-    return agreed.unionByName(redone)
+    return arrow_map(both.select("page_id", "url", "html", "path"), make, "page_id bigint, url string, text string")
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
