@@ -71,7 +71,9 @@ class Spectrum:
         if not keep.any():
             return np.zeros(0, np.int64)
         keep[1:] |= classes[:-1] != 0  # runs of other characters count as one
-        one = np.concatenate(([0], classes[keep], [0])).astype(np.int32)
+        body = classes[keep]
+        body = body[int(body[0] == 0) : len(body) - int(body[-1] == 0)]
+        one = np.concatenate(([0], body, [0])).astype(np.int32)
         two = one[:-1] * CLASSES + one[1:]
         three = two[:-1] * CLASSES + one[2:]
         codes = np.concatenate((one, two + CLASSES, three + (CLASSES + CLASSES**2)))
