@@ -74,3 +74,11 @@ def sift(df: DataFrame, key: str, bitmap: DataFrame) -> DataFrame:
     low = F.col(key).bitwiseAND((1 << BITS) - 1)
     bit = F.call_function("shiftright", F.col("bits"), low.bitwiseAND(63).cast("int")).bitwiseAND(1)
     return df.join(F.broadcast(bitmap), F.shiftright(low, 6) == F.col("word")).where(bit == 1).drop("word", "bits")
+
+
+def matching(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """Rows whose key is among the distinct ``keys``: most others are sifted out before the join shuffles.
+
+    The join is an inner one: a semi join would be moved below the sifting.
+    """
+    return sift(df, key, bitmap(keys, key)).join(keys, key)

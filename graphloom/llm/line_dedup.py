@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import bitmap, materialize, only, sift, table
+from graphloom.llm.common import matching, materialize, only, table
 
 #: Shorter lines are compared for equality alone: one edit is much of a short line.
 LEAST = 16
@@ -95,8 +95,7 @@ def near_lines(docs: DataFrame, distinct: DataFrame, least: int = LEAST) -> Data
     """``h1, h2`` of each distinct line of ``least`` characters or more that is one edit from an earlier one."""
     lines = lines_of(docs).where(F.col("n") >= least).select("line", "n", "h1", "h2")
     shared = materialize(_shared(_gap_keys(lines, 1)), "gap-keys")
-    sifted = sift(_gap_keys(lines, 1), "key", bitmap(shared, "key"))
-    wide = sifted.join(shared, "key", "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line"), F.first("n").alias("n"))
+    wide = matching(_gap_keys(lines, 1), "key", shared).groupBy("h1", "h2").agg(F.first("line").alias("line"), F.first("n").alias("n"))
     wide = materialize(wide.join(distinct.select("h1", "h2", "first"), ["h1", "h2"]), "gap-wide")
     keyed = _gap_keys(wide, 16)
     found = keyed.join(_shared(keyed), "key", "left_semi").select("h1", "h2").distinct()
