@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import arrow_map, bitmap, materialize, only, sift, table
+from graphloom.llm.common import arrow_map, bitmap, matching, materialize, only, sift, table
 from graphloom.session import discard
 
 WINDOW = 400
@@ -184,7 +184,7 @@ class SuffixFamily:
         every = self.levels[0][1]
         for _, level in self.levels[1:]:
             every = every.unionByName(level)
-        return sift(every, "q", bitmap(grams, "q")).join(grams, "q", "left_semi")
+        return matching(every, "q", grams)
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
