@@ -8,7 +8,9 @@ found in the dictionary and cost little, random keys cost almost as many bytes a
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +33,7 @@ _CONTEXT = re.compile(
     re.I | re.A,
 )
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+_DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 
 #: Identifiers that code is full of; what they spell is not novel.
 IDENTIFIERS = (
@@ -83,26 +86,28 @@ class Novelty:
         return (len(self.compress(context + b" " + candidate)) - len(self.compress(context))) / len(candidate)
 
     def spans(self, text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-        """Novel candidates that overlap no base span and end soon after a sensitive word."""
-        found, done = [], -1
-        for word in _CONTEXT.finditer(text):
-            # A token that starts within reach counts, however long it is.
-            for m in _CANDIDATE.finditer(text, max(word.end(), done)):
-                start, end = m.span()
-                if start > word.end() + self.reach:
-                    break
-                done = end
-                token = m[0]
-                if any(a < end and start < b for a, b, _ in taken):
-                    continue
-                if not (re.search(r"[0-9]", token) and re.search(r"[A-Za-z]", token)):
-                    continue
-                # Some prose in front: a short text alone would give the compressor no table of its letters.
-                context = _PROSE + (text[max(0, start - self.around) : start] + text[end : end + self.around]).encode(
-                    "utf-8", "surrogatepass"
-                )
-                if self.marginal(context, token.encode()) >= self.least:
-                    found.append((start, end, "novel"))
+        """Novel candidates that overlap no base span and start soon after a sensitive word."""
+        found: list[tuple[int, int, str]] = []
+        words = [m.end() for m in _CONTEXT.finditer(text)]
+        if not words:
+            return found
+        base = sorted(taken)
+        starts, reached = [a for a, _, _ in base], list(itertools.accumulate((b for _, b, _ in base), max))
+        for m in _CANDIDATE.finditer(text):
+            start, end = m.span()
+            before = bisect.bisect_right(words, start)
+            if not before or start > words[before - 1] + self.reach:
+                continue
+            token = m[0]
+            if not (_DIGIT.search(token) and _LETTER.search(token)):
+                continue
+            at = bisect.bisect_left(starts, end) - 1
+            if at >= 0 and reached[at] > start:
+                continue
+            around = text[max(0, start - self.around) : start] + text[end : end + self.around]
+            # Some prose in front: a short text alone would give the compressor no table of its letters.
+            if self.marginal(_PROSE + around.encode("utf-8", "surrogatepass"), token.encode()) >= self.least:
+                found.append((start, end, "novel"))
         return found
 
 
