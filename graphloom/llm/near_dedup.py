@@ -5,10 +5,10 @@ the low bits of the minima, packed, estimate a candidate's similarity from the n
 corrected for fields that are equal by chance; what may reach the threshold is confirmed on the full
 sets. Documents with equal sets are one class and take part once.
 
-A bucket's members aren't paired with each other: each is compared with one hub, first the smallest id,
-then the member with most links, as long as that joins components. Whatever a bucket still holds in
-different components is then compared in full, in blocks, so no link between different texts that share
-a bucket is missed where it would join components.
+Documents that share buckets, directly or through others, are a family. Its members aren't paired with
+each other: all are compared with one hub, the member that shares most buckets. Those that the hub
+doesn't link are then compared with the whole family, in blocks that hold the full sets, so no link that
+joins components is missed and no pair but the confirmed ones leaves a task.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import arrow_map, bitmap, materialize, only, sift, table
+from graphloom.llm.common import arrow_map, bitmap, matching, materialize, only, sift, table
 from graphloom.operators.components import connected_components
 
 MINIMA = 128
@@ -26,9 +26,8 @@ MINIMA = 128
 ROWS = 4
 #: Low bits kept of each minimum.
 BITS = 4
-#: Members of one block where a bucket is compared in full.
-SIDE = 256
-ROUNDS = 4
+#: Members of one block on the side of those without a link, and on the side of the whole family.
+SIDE, ACROSS = 256, 1024
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Odd factors and addends of the minima's hash functions.
@@ -184,41 +183,56 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
     return arrow_map(both.select("a", "b", "sa", "sb"), make, "a bigint, b bigint")
 
 
-def _rest(members: DataFrame, sizes: DataFrame, least: float) -> DataFrame:
-    """``a, b``: pairs of different components within a bucket, estimated at ``least`` or more.
+def _rest(members: DataFrame, threshold: float) -> DataFrame:
+    """``a, b``: confirmed links of ``fam, cid, sig, shingles, alone, parts, across`` that join components.
 
-    A bucket is cut into parts of about ``SIDE`` members, and each two parts are compared in a task of
-    their own.
+    Members that are ``alone`` meet all members of their family. The first are cut into ``parts`` and the
+    whole family into ``across``; each two parts are compared in a task of their own, which gives a link
+    for each two of its members' groups that it joins.
     """
-    parts = F.ceil(F.col("m") / SIDE).cast("int")
-    cut = members.join(sizes, "key").withColumn("parts", parts)
-    cut = cut.withColumn("part", F.pmod(F.xxhash64(F.lit(3), "cid"), F.col("parts")).cast("int"))
-    cut = cut.withColumn("with", F.explode(F.expr("sequence(0, parts - 1)")))
-    cut = cut.select(
-        "key", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"), "part", "cid", "comp", "sig"
-    )
-    chance = 1 / 2**BITS
+    left = F.pmod(F.xxhash64(F.lit(3), "cid"), F.col("parts")).cast("int")
+    right = F.pmod(F.xxhash64(F.lit(5), "cid"), F.col("across")).cast("int")
+    kept = ("fam", "i", "j", "side", "cid", "sig", "shingles")
+    one = members.where("alone").withColumns({"i": left, "side": F.lit(0)}).withColumn("j", F.explode(F.expr("sequence(0, across - 1)")))
+    two = members.withColumns({"j": right, "side": F.lit(1)}).withColumn("i", F.explode(F.expr("sequence(0, parts - 1)")))
+    hundredths, least, chance = round(threshold * 100), lowest_estimate(threshold), 1 / 2**BITS
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        left, right = pdf[pdf["part"] == i], pdf[pdf["part"] == j]
+        left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        if not len(left) or not len(right):
+            return pd.DataFrame()
+        x, y = (np.array(p["sig"].to_list(), np.int64).view(np.uint64) for p in (left, right))
+        ix, iy = left["cid"].to_list(), right["cid"].to_list()
+        sx, sy = ([np.frombuffer(b, np.uint64) for b in p["shingles"]] for p in (left, right))
+        parent: dict[int, int] = {}
+
+        def top(v: int) -> int:
+            while parent.setdefault(v, v) != v:
+                parent[v] = parent[parent[v]]
+                v = parent[v]
+            return v
+
         out = []
-        if len(left) and len(right):
-            x = np.stack(left["sig"].to_list()).astype(np.int64).view(np.uint64)
-            y = np.stack(right["sig"].to_list()).astype(np.int64).view(np.uint64)
-            cx, cy = left["comp"].to_numpy(), right["comp"].to_numpy()
-            ix, iy = left["cid"].to_numpy(), right["cid"].to_numpy()
-            for row in range(len(x)):
-                d = y ^ x[row]
-                d |= d >> np.uint64(1)
-                d |= d >> np.uint64(2)
-                differ = np.bitwise_count(d & np.uint64(0x1111111111111111)).sum(axis=1) / MINIMA
-                like = (1 - differ - chance) / (1 - chance)
-                for k in np.flatnonzero((like >= least) & (cy != cx[row])):
-                    out.append((min(ix[row], iy[k]), max(ix[row], iy[k])))
-        return pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype="int64")
-
-    return cut.groupBy("key", "i", "j").applyInPandas(compare, "a bigint, b bigint").distinct()
+        for r in range(len(x)):
+            d = y ^ x[r]
+            d |= d >> np.uint64(1)
+            d |= d >> np.uint64(2)
+            differ = np.bitwise_count(d & np.uint64(0x1111111111111111)).sum(axis=1) / MINIMA
+            for k in np.flatnonzero((1 - differ - chance) / (1 - chance) >= least).tolist():
+                p, q = top(ix[r]), top(iy[k])
+                if p == q:
+                    continue
+                n, m = len(sx[r]), len(sy[k])
+                if 100 * min(n, m) < hundredths * max(n, m):
+                    continue
+                shared = len(np.intersect1d(sx[r], sy[k], assume_unique=True))
+                if 100 * shared >= hundredths * (n + m - shared):
+                    parent[max(p, q)] = min(p, q)
+                    out.append((min(ix[r], iy[k]), max(ix[r], iy[k])))
+        return pd.DataFrame(out, columns=["a", "b"]) if out else pd.DataFrame()
+
+    both = one.select(*kept).unionByName(two.select(*kept))
+    return both.groupBy("fam", "i", "j").applyInPandas(compare, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -240,7 +254,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -
     banded = chosen.select(F.col("doc_id").alias("cid"), "sig", F.explode("bands").alias("key"))
     full = banded.groupBy("key").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo < hi").select("key")
     full = materialize(full, "bands")
-    members = sift(banded, "key", bitmap(full, "key")).join(full, "key", "left_semi")
+    members = matching(banded, "key", full)
     members = materialize(members, "members")
     links = _links(slim, members, shingle, threshold)
     out = drawn.select("doc_id", "n", "class").join(classes, "class", "left")
@@ -266,56 +280,33 @@ def _twice(chosen: DataFrame) -> bool:
 def _links(docs: DataFrame, members: DataFrame, shingle: int, threshold: float) -> DataFrame | None:
     """``a, b``: confirmed links, enough of them to join every component; None if there is none."""
     least = lowest_estimate(threshold)
-    wanted = members.select("cid").distinct()
-    sets = materialize(_sets(docs, wanted, shingle), "sets")
-    labels = wanted.select("cid", F.col("cid").alias("comp"), F.lit(0).cast("bigint").alias("links"))
-    tried = links = None
-
-    def confirm(pairs: DataFrame) -> bool:
-        nonlocal tried, links
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        if not pairs.limit(1).count():
-            return False
-        new = materialize(_confirmed(pairs, sets, threshold), "links")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = new if links is None else links.unionByName(new)
-        return True
-
-    for _ in range(ROUNDS):
-        here, mixed_ = _open_buckets(members, labels)
-        hub = mixed_.select(
-            "key", (-F.col("hub.neg")).alias("h"), F.col("hub.comp").alias("hc"), F.col("hub.sig").alias("hs")
-        )
-        pairs = here.join(hub, "key").where("comp <> hc").where(estimate(F.col("sig"), F.col("hs")) >= least)
-        if not confirm(pairs.select(F.least("cid", "h").alias("a"), F.greatest("cid", "h").alias("b")).distinct()):
-            break
-        labels = _labels(wanted, links)
-    here, mixed_ = _open_buckets(members, labels)
-    confirm(_rest(here.select("key", "cid", "comp", "sig"), mixed_.select("key", "m"), least))
-    return links
-
-
-def _open_buckets(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members with their components, and the buckets that hold more than one, each with a hub."""
-    here = members.join(labels, "cid")
-    buckets = here.groupBy("key").agg(
-        F.min("comp").alias("lo"),
-        F.max("comp").alias("hi"),
-        F.count("*").alias("m"),
-        F.max(F.struct("links", (-F.col("cid")).alias("neg"), "comp", "sig")).alias("hub"),
+    if not members.limit(1).count():
+        return None
+    sizes = members.groupBy("key").agg(F.count("*").alias("m"), F.min("cid").alias("lo"))
+    shared = members.join(sizes, "key")
+    families = connected_components(shared.select("lo", "cid").distinct(), "lo", "cid")
+    families = families.select(F.col("id").alias("cid"), F.col("component").alias("fam"))
+    weights = shared.groupBy("cid").agg(F.sum("m").alias("weight"), F.first("sig").alias("sig"))
+    placed = materialize(weights.join(families, "cid"), "families")
+    sets = materialize(_sets(docs, placed.select("cid"), shingle), "sets")
+    hubs = placed.groupBy("fam").agg(
+        F.count("*").alias("size"), F.max(F.struct("weight", (-F.col("cid")).alias("neg"), "sig")).alias("hub")
     )
-    return here, buckets.where("lo < hi")
-
-
-def _labels(wanted: DataFrame, links: DataFrame) -> DataFrame:
-    """Each member's component and number of links so far."""
-    groups = connected_components(links, "a", "b").select(F.col("id").alias("cid"), F.col("component").alias("g"))
-    ends = links.select(F.col("a").alias("cid")).unionByName(links.select(F.col("b").alias("cid")))
-    degrees = ends.groupBy("cid").agg(F.count("*").alias("d"))
-    labels = wanted.join(groups, "cid", "left").join(degrees, "cid", "left")
-    return materialize(labels.select("cid", F.coalesce("g", "cid").alias("comp"), F.coalesce("d", F.lit(0)).alias("links")), "labels")
+    hubs = hubs.select("fam", "size", (-F.col("hub.neg")).alias("hub"), F.col("hub.sig").alias("hub_sig"))
+    spoked = placed.join(hubs, "fam").where("cid <> hub")
+    pairs = spoked.where(estimate(F.col("sig"), F.col("hub_sig")) >= least).select(F.col("hub").alias("a"), F.col("cid").alias("b"))
+    links = materialize(_confirmed(pairs, sets, threshold), "links")
+    # A family of two is settled by its one pair.
+    alone = spoked.where("size > 2").select("fam", "cid", "size").join(links.select(F.col("b").alias("cid")), "cid", "left_anti")
+    alone = materialize(alone, "alone")
+    if not alone.limit(1).count():
+        return links
+    counts = alone.groupBy("fam").agg(
+        F.ceil(F.count("*") / SIDE).cast("int").alias("parts"), F.ceil(F.max("size") / ACROSS).cast("int").alias("across")
+    )
+    rest = placed.select("fam", "cid", "sig").join(counts, "fam").join(sets, "cid")
+    rest = rest.join(alone.select("cid", F.lit(True).alias("a")), "cid", "left").withColumn("alone", F.coalesce("a", F.lit(False)))
+    return links.unionByName(materialize(_rest(rest, threshold), "links"))
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
