@@ -22,6 +22,7 @@ TYPE_COLOURS = {
 }
 DEFAULT_COLOUR = "#90A4AE"
 
+#: What stands before and after the text of a prompt.
 PROMPT_HEAD = "Extract all entities and relationships from the following text.\n\nText:\n"
 PROMPT_TAIL = "\n\nReturn a complete knowledge graph with entities and their relationships."
 

@@ -10,6 +10,19 @@ from graphloom.operators.components import connected_components
 from graphloom.operators.graph import all_nodes, collapse
 from graphloom.session import materialize
 
+#: The insights' sentences, in the order in which they come.
+INSIGHTS = {
+    "size": "**%s unique entities** and **%s relationships** extracted from this document.",
+    "best": "**%s** (%s) is the most connected entity with **%s direct relationships**.",
+    "dense": "The graph is **highly interconnected** — entities have rich, complex interdependencies throughout the document.",
+    "moderate": "The graph has **moderate connectivity**, indicating a well-structured document with clear topic clusters.",
+    "sparse": "The graph is **sparsely connected**, typical of broad documents covering many independent topics.",
+    "components": "**%s distinct knowledge clusters** detected — consider cross-referencing these topic groups.",
+    "type": "**%s** is the most prevalent entity type, representing **%s%%** of all entities.",
+    "degree": "Entities have an average of **%s connections** each.",
+    "isolated": "**%s isolated entities** detected — these may represent standalone concepts worth reviewing manually.",
+}
+
 
 def type_histogram(df: DataFrame, column: str, missing: str) -> DataFrame:
     """``type, count``: nodes miss as Unknown, edges as unknown."""
@@ -152,22 +165,20 @@ def analytics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def insights(figures: DataFrame) -> DataFrame:
     """``ord, insight`` from the one row of ``analytics``."""
-    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
-    n, e, d = F.col("num_nodes"), F.col("num_edges"), F.col("density")
+    n, d = F.col("num_nodes"), F.col("density")
+    say = lambda name, *values: F.format_string(INSIGHTS[name], *values)
     best = F.get("top_entities_by_degree", 0)
     # Of equal counts the first type by name wins.
     ranked = F.sort_array(F.transform(F.map_entries("entity_types"), lambda x: F.struct((-x["value"]).alias("r"), x["key"].alias("k"), x["value"].alias("v"))))
     first = F.get(ranked, 0)
     lines = [
-        F.when(n > 0, text("**", n, " unique entities** and **", e, " relationships** extracted from this document.")),
-        F.when(best.isNotNull(), text("**", best["label"], "** (", best["type"], ") is the most connected entity with **", best["degree"], " direct relationships**.")),
-        F.when(d > 0.3, F.lit("The graph is **highly interconnected** — entities have rich, complex interdependencies throughout the document."))
-        .when(d > 0.1, F.lit("The graph has **moderate connectivity**, indicating a well-structured document with clear topic clusters."))
-        .when(d > 0, F.lit("The graph is **sparsely connected**, typical of broad documents covering many independent topics.")),
-        F.when(F.col("num_components") > 1, text("**", F.col("num_components"), " distinct knowledge clusters** detected — consider cross-referencing these topic groups.")),
-        F.when(first.isNotNull(), text("**", first["k"], "** is the most prevalent entity type, representing **", percent(first["v"], n), "%** of all entities.")),
-        F.when(F.col("avg_degree") > 0, text("Entities have an average of **", F.col("avg_degree"), " connections** each.")),
-        F.when(F.col("isolated_nodes") > 0, text("**", F.col("isolated_nodes"), " isolated entities** detected — these may represent standalone concepts worth reviewing manually.")),
+        F.when(n > 0, say("size", n, F.col("num_edges"))),
+        F.when(best.isNotNull(), say("best", best["label"], best["type"], best["degree"])),
+        F.when(d > 0.3, F.lit(INSIGHTS["dense"])).when(d > 0.1, F.lit(INSIGHTS["moderate"])).when(d > 0, F.lit(INSIGHTS["sparse"])),
+        F.when(F.col("num_components") > 1, say("components", F.col("num_components"))),
+        F.when(first.isNotNull(), say("type", first["k"], percent(first["v"], n))),
+        F.when(F.col("avg_degree") > 0, say("degree", F.col("avg_degree"))),
+        F.when(F.col("isolated_nodes") > 0, say("isolated", F.col("isolated_nodes"))),
     ]
     kept = F.filter(F.array(*lines), lambda x: x.isNotNull())
     return figures.select(F.posexplode(kept).alias("ord", "insight"))
