@@ -142,24 +142,30 @@ def analytics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Relation types are counted on the edges as they came. Rankings are arrays of structs.
     """
     one = materialize(collapse(edges), "digraph")
-    every = all_nodes(nodes, one)
+    # Each figure but the components comes from one table of nodes and their degrees.
+    placed = node_degrees(all_nodes(nodes, one), one).select(
+        "id", F.coalesce("label", "id").alias("label"), F.coalesce("type", F.lit("Unknown")).alias("type"), F.col("total_degree").alias("degree")
+    )
+    placed = materialize(placed, "degrees")
+    joined = connected_components(one, "source", "target")
+    row = F.struct((-F.col("degree")).alias("r"), "id", "label", "degree", "type")
     counts = _beside(
-        every.agg(F.count("*").alias("num_nodes")),
+        placed.agg(F.count("*").alias("num_nodes"), F.count_if(F.col("degree") == 0).alias("isolated_nodes")),
         one.agg(F.count("*").alias("num_edges")),
-        weak_components(nodes, one).agg(F.countDistinct("component").alias("num_components")),
-        isolated_nodes(every, one).agg(F.count("*").alias("isolated_nodes")),
+        joined.agg(F.countDistinct("component").alias("joined"), F.count("*").alias("within")),
         _as_map(type_histogram(nodes, "type", "Unknown"), "entity_types"),
         _as_map(type_histogram(edges, "label", "unknown"), "relation_types"),
-        top_entities(nodes, edges).agg(F.sort_array(F.collect_list(F.struct((-F.col("degree")).alias("r"), "id", "label", "degree", "type"))).alias("t")),
-        degree_centrality(nodes, edges).agg(F.sort_array(F.collect_list(F.struct((-F.col("centrality")).alias("r"), "id", "label", "centrality"))).alias("c")),
+        top(placed, "degree", 15).agg(F.sort_array(F.collect_list(row)).alias("t")),
     )
     n, e = F.col("num_nodes"), F.col("num_edges")
+    central = lambda x: F.struct(x["label"].alias("label"), F.round(x["degree"] / (n - 1), 4).alias("centrality"))
     return counts.select(
         "num_nodes", "num_edges",
         F.round(density(n, e), 4).alias("density"), F.round(average_degree(n, e), 2).alias("avg_degree"),
-        "num_components", "isolated_nodes", "entity_types", "relation_types",
+        # A node that no edge names is a component of its own.
+        (n - F.col("within") + F.col("joined")).alias("num_components"), "isolated_nodes", "entity_types", "relation_types",
         F.transform("t", lambda x: F.struct(x["label"].alias("label"), x["degree"].alias("degree"), x["type"].alias("type"))).alias("top_entities_by_degree"),
-        F.transform("c", lambda x: F.struct(x["label"].alias("label"), x["centrality"].alias("centrality"))).alias("top_by_centrality"),
+        F.when(n > 1, F.transform(F.slice("t", 1, 10), central)).otherwise(F.array()).alias("top_by_centrality"),
     )
 
 
