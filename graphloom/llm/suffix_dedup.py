@@ -10,8 +10,8 @@ suffixes that start alike, then joins the family; two levels of one size are mer
 the size. Every two suffixes thus meet exactly once, and each is rewritten once a level.
 
 What starts alike is then settled exactly. Suffixes with all of their windows' text alike are repeats as
-they stand, however many they are. Of suffixes that start alike and then differ, one of each kind
-compares its single windows, by two independent 64-bit hashes of all their bytes.
+they stand, however many they are. Of suffixes that start alike and then differ, one of each kind brings
+its text, and their single windows are compared by two independent 64-bit hashes of all their bytes.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +30,10 @@ WINDOW = 400
 GRAM = 50
 #: Windows that one pass over a text takes; longer texts take more passes.
 CHUNK = 1 << 20
+#: Kinds that start alike up to which one task compares their windows; those of more are shuffled one by one.
+LARGE = 20_000
+#: Kinds that one task compares, of any starts.
+TOGETHER = 2_000
 #: Batches that a whole table is split into.
 BATCHES = 4
 
@@ -205,45 +210,102 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batc
     same = alike.join(kinds.where("n > 1").select(*kind), kind, "left_semi")
     same = same.select("doc_id", "th", (F.col("pos") - F.col("hi")).alias("s"), (F.col("pos") - F.col("lo") + window).alias("e"))
     # Alike at first and then different: single windows of one suffix of each kind decide.
-    several = kinds.groupBy("q").agg(F.count("*").alias("k")).where("k > 1").select("q")
-    parts = kinds.join(several, "q", "left_semi").select("rep.*", "lo", "hi", (F.col("n") == 1).alias("alone"))
-    asked = parts.groupBy("doc_id", "th").agg(F.collect_list(F.struct("pos", "lo", "hi", "alone")).alias("parts"))
+    several = kinds.groupBy("q").agg(F.count("*").alias("k")).where("k > 1")
+    parts = kinds.join(several, "q").select("q", "rep.*", "lo", "hi", (F.col("n") == 1).alias("alone"), (F.col("k") > LARGE).alias("large"))
+    asked = parts.groupBy("doc_id", "th").agg(F.collect_list(F.struct("q", "pos", "lo", "hi", "alone", "large")).alias("parts"))
     asked = materialize(asked.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "parts"), "asked")
     near = sift(docs, "th", bitmap(asked, "t"))
     there = near.join(asked, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")))
-    windows = materialize(_windows(there.select("doc_id", "th", "text", "parts"), window), "windows")
-    twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
-    hit = windows.where("alone").join(twice, ["w1", "w2"], "left_semi").select("doc_id", "th", F.col("at").alias("s"), (F.col("at") + window).alias("e"))
-    spans = same.unionByName(hit)
+    brought = materialize(_brought(there.select("doc_id", "th", "text", "parts"), window), "brought")
+    spans = same.unionByName(_few_alike(brought.where("not large"), window))
+    if brought.where("large").limit(1).count():
+        spans = spans.unionByName(_many_alike(brought.where("large"), window))
     return spans.groupBy("doc_id", "th").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
 
-def _windows(docs: DataFrame, window: int) -> DataFrame:
-    """``doc_id, th, at, alone, w1, w2``: the hashes of the asked suffixes' windows."""
+PART = "q bigint, doc_id bigint, th bigint, start bigint, alone boolean, large boolean, bytes binary"
+
+
+def _brought(docs: DataFrame, window: int) -> DataFrame:
+    """A row for each asked suffix with the text of its windows, which begins at byte ``start``."""
 
     def make():
         def run(c):
-            out: dict[str, list] = {k: [] for k in ("doc_id", "th", "at", "alone", "w1", "w2")}
+            out: dict[str, list] = {k: [] for k in ("q", "doc_id", "th", "start", "alone", "large", "bytes")}
             for doc, th, text, parts in zip(c["doc_id"], c["th"], c["text"], c["parts"], strict=True):
-                data = _bytes(text)
-                starts = np.concatenate([np.arange(p["pos"] - p["hi"], p["pos"] - p["lo"] + 1) for p in parts])
-                alone = np.concatenate([np.full(p["hi"] - p["lo"] + 1, p["alone"]) for p in parts])
-                for at, part in chunks(data, window):
-                    mine = (starts >= at) & (starts < at + CHUNK)
-                    if not mine.any():
-                        continue
-                    h, s = Hasher(part), starts[mine] - at
-                    out["doc_id"] += [doc] * len(s)
-                    out["th"] += [th] * len(s)
-                    out["at"].append(s + at)
-                    out["alone"].append(alone[mine])
-                    out["w1"].append(h.of(0, s, s + window).view(np.int64))
-                    out["w2"].append(h.of(1, s, s + window).view(np.int64))
-            return out | {k: np.concatenate(out[k]) if out[k] else [] for k in ("at", "alone", "w1", "w2")}
+                data = _bytes(text).tobytes()
+                for p in parts:
+                    start = p["pos"] - p["hi"]
+                    row = (p["q"], doc, th, start, p["alone"], p["large"], data[start : p["pos"] - p["lo"] + window])
+                    for k, x in zip(out, row, strict=True):
+                        out[k].append(x)
+            return out
 
         return run
 
-    return arrow_map(docs, make, "doc_id bigint, th bigint, at bigint, alone boolean, w1 bigint, w2 bigint")
+    return arrow_map(docs, make, PART)
+
+
+def window_hashes(text: bytes, window: int) -> tuple[np.ndarray, np.ndarray]:
+    h = Hasher(np.frombuffer(text, np.uint8))
+    return h.runs(0, window), h.runs(1, window)
+
+
+def _few_alike(parts: DataFrame, window: int) -> DataFrame:
+    """``doc_id, th, s, e`` of the windows of suffixes that are ``alone`` which another part has too.
+
+    Equal windows have equal starts ``q``, so parts may be dealt by it; a task takes about ``TOGETHER``
+    of them, and no start has more than ``LARGE``.
+    """
+    n = max(1, parts.count() // TOGETHER)
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        hashes = [window_hashes(b, window) for b in pdf["bytes"]]
+        one, two = (np.concatenate([h[k] for h in hashes]) for k in range(2))
+        both = np.lexsort((two, one))
+        a, b = one[both], two[both]
+        equal = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+        twice = np.zeros(len(one), bool)
+        twice[both[1:][equal]] = True
+        twice[both[:-1][equal]] = True
+        out, at = [], 0
+        for (w, _), doc, th, start, alone in zip(hashes, pdf["doc_id"], pdf["th"], pdf["start"], pdf["alone"], strict=True):
+            mine = np.concatenate(([False], twice[at : at + len(w)], [False])).astype(np.int8)
+            at += len(w)
+            if alone:
+                turns = np.flatnonzero(np.diff(mine))
+                out += [(doc, th, start + s, start + e - 1 + window) for s, e in zip(turns[::2], turns[1::2], strict=True)]
+        return pd.DataFrame(out, columns=["doc_id", "th", "s", "e"]) if out else pd.DataFrame()
+
+    # Ids travel as text: pandas makes floats of integers among which one is null.
+    dealt = parts.withColumns({"bucket": F.pmod(F.xxhash64("q"), F.lit(n)), "doc_id": F.col("doc_id").cast("string")})
+    found = dealt.groupBy("bucket").applyInPandas(compare, "doc_id string, th bigint, s bigint, e bigint")
+    return found.withColumn("doc_id", F.col("doc_id").cast("bigint"))
+
+
+def _many_alike(parts: DataFrame, window: int) -> DataFrame:
+    """The same, for starts with so many parts that their windows are shuffled one by one."""
+
+    def make():
+        def run(c):
+            out: dict[str, list] = {k: [] for k in ("doc_id", "th", "at", "alone", "w1", "w2")}
+            for doc, th, start, alone, text in zip(c["doc_id"], c["th"], c["start"], c["alone"], c["bytes"], strict=True):
+                one, two = window_hashes(text, window)
+                out["doc_id"] += [doc] * len(one)
+                out["th"] += [th] * len(one)
+                out["alone"] += [alone] * len(one)
+                out["at"].append(start + np.arange(len(one)))
+                out["w1"].append(one.view(np.int64))
+                out["w2"].append(two.view(np.int64))
+            return out | {k: np.concatenate(out[k]) if out[k] else [] for k in ("at", "w1", "w2")}
+
+        return run
+
+    hashed = arrow_map(parts, make, "doc_id bigint, th bigint, at bigint, alone boolean, w1 bigint, w2 bigint")
+    windows = materialize(hashed, "windows")
+    twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
+    hit = windows.where("alone").join(twice, ["w1", "w2"], "left_semi")
+    return hit.select("doc_id", "th", F.col("at").alias("s"), (F.col("at") + window).alias("e"))
 
 
 def merged_runs(spans: list) -> list[tuple[int, int]]:
