@@ -177,8 +177,9 @@ def brute_repeats(docs: list[tuple], window: int) -> list[tuple]:
     return out
 
 
-@pytest.mark.parametrize("window,gram", [(400, 50), (40, 12)])
-def test_repeated_strings(spark, window, gram, odd_docs):
+@pytest.mark.parametrize("window,gram,large", [(400, 50, 20_000), (40, 12, 20_000), (40, 12, 3)])
+def test_repeated_strings(spark, monkeypatch, window, gram, large):
+    monkeypatch.setattr(suffix_dedup, "LARGE", large)
     r = random.Random(window)
     pieces = [prose(i, 60) for i in range(8)] + ["ab" * 300, "é" * 250, "x" * 900]
     docs = []
