@@ -24,7 +24,7 @@ from graphloom.llm.common import arrow_map, only, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Encoded pieces that a worker remembers; beyond it the memory starts anew.
-CACHE = 600_000
+CACHE = 250_000
 
 
 def default_ranks() -> str:
@@ -85,7 +85,7 @@ class Vocabulary:
         at, byte = key >> 8, key & 255
         while at and (at << 8 | byte) not in self.trie:
             at = self.fail[at]
-        if len(self.step) > 4_000_000:
+        if len(self.step) > 1_000_000:
             self.step = dict(self.trie)
         got = self.step[key] = self.trie.get(at << 8 | byte, 0)
         return got
@@ -121,7 +121,7 @@ class Vocabulary:
         key = left * self.size + right
         known = self.apart.get(key)
         if known is None:
-            if len(self.apart) > 4_000_000:
+            if len(self.apart) > 1_000_000:
                 self.apart.clear()
             known = self.apart[key] = self._apart(left, right)
         return known
@@ -154,7 +154,7 @@ class PrefixTable:
     so a byte costs one look-up once its step is known. Beyond ``most`` steps the table starts anew.
     """
 
-    def __init__(self, vocabulary: Vocabulary, most: int = 1_000_000):
+    def __init__(self, vocabulary: Vocabulary, most: int = 400_000):
         self.vocabulary, self.most = vocabulary, most
         self.clear()
 
@@ -407,10 +407,11 @@ def tokenize_stage(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
         def run(c):
             out = {"doc_id": c["doc_id"], "source": c["source"], "lang": c["lang"], "n_tokens": [], "token_ids": [], "round_trip": []}
             for text in c["text"]:
-                ids = tokenizer.encode(text or "")
+                # An array holds four bytes for each id, a list of integers nine times as many.
+                ids = np.frombuffer(tokenizer.packed(text or ""), "<u4").astype(np.int32)
                 out["n_tokens"].append(len(ids))
                 out["token_ids"].append(ids)
-                out["round_trip"].append(tokenizer.decode(ids) == (text or "").encode("utf-8", "surrogatepass"))
+                out["round_trip"].append(tokenizer.decode(ids.tolist()) == (text or "").encode("utf-8", "surrogatepass"))
             return out
 
         return run

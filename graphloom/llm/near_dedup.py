@@ -58,7 +58,7 @@ class Shingles:
         words = (text or "").encode("utf-8", "surrogatepass").lower().split()
         if not words:
             return np.zeros(0, np.uint64)
-        if len(self.known) > 500_000:
+        if len(self.known) > 200_000:
             self.known.clear()
         ids = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
         size = min(self.size, len(ids))
