@@ -556,6 +556,23 @@ def insights(spark, sf_dir):
     return _longs(analytics.insights(analytics.analytics(*_places(spark, sf_dir))), "ord")
 
 
+# The same three over all nodes and edges, without SQL: components of the whole graph are too slow there.
+@query()
+def graph_components(spark, sf_dir):
+    return analytics.weak_components(*_graph(spark, sf_dir))
+
+
+@query()
+def graph_figures(spark, sf_dir):
+    row = analytics.analytics(*_graph(spark, sf_dir))
+    return row.select("num_nodes", "num_edges", "density", "avg_degree", "num_components", "isolated_nodes")
+
+
+@query()
+def graph_insights(spark, sf_dir):
+    return _longs(analytics.insights(analytics.analytics(*_graph(spark, sf_dir))), "ord")
+
+
 @query("SELECT doc_id, 1 AS page_number, text FROM documents")
 def document_as_pages(spark, sf_dir):
     return document_pages(table(spark, sf_dir, "documents"))
