@@ -1,13 +1,15 @@
 """Main text of web pages by consensus of each host's pages.
 
-Every page is parsed and its containers are scored; the best one's generalised path (tags and classes
+Every page is parsed and its containers are scored; the best ones' generalised path (tags and classes
 from the root, digits folded) is the page's vote. Votes are counted by host in Spark, and each page is
-extracted again from its container on the winning path, or from its own best one if it has none there.
+extracted again from all its containers on the winning path, or from its own best ones if it has none
+there, or if plain text would be lost that stands where most pages with that vote have nothing.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from html import unescape
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +19,8 @@ from graphloom.llm.common import arrow_map, materialize, only, table
 
 #: Hosts up to which the winning paths are broadcast; more are joined by shuffle.
 FEW_HOSTS = 20_000
+#: Plain lines up to this length, and of this share of a page's plain text, may be left behind.
+STUB, FEW = 40, 0.05
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""",
@@ -209,36 +213,63 @@ class Page:
             plain[self.containers[i][0]] += plain[i]
         return every, plain
 
-    def best(self, share: float = 0.6) -> int:
-        """From the root down while one child holds most of the text and leaves more than headings behind."""
+    def within(self, chosen: list[int]) -> list[bool]:
+        """For each container, whether it is or lies in one of the chosen."""
+        held = [False] * len(self.containers)
+        for i in chosen:
+            held[i] = True
+        for i, (parent, _, _) in enumerate(self.containers):
+            held[i] = held[i] or parent >= 0 and held[parent]
+        return held
+
+    def outside(self, chosen: list[int]) -> list[tuple[str, int]]:
+        """(path, length) of each block of plain text, no heading and not mostly links, outside the chosen."""
+        held = self.within(chosen)
+        return [(self.containers[at][1], len(text)) for at, text, linked, heading in self.blocks if not (held[at] or heading or linked * 2 >= len(text))]
+
+    def best(self, share: float = 0.6) -> list[int]:
+        """From the root down, all children of one path at a time, while they hold most of the text.
+
+        What is left behind is more than headings, and is mostly links but for a few ``STUB`` lines.
+        """
         every, plain = self.weights()
         below: dict[int, list[int]] = {}
         for i, (parent, _, _) in enumerate(self.containers):
             below.setdefault(parent, []).append(i)
-        at = 0
-        while self.containers[at][2] != "article" and at in below:
-            child = max(below[at], key=lambda i: (every[i], -i))
-            if not every[child] or every[child] < share * every[at]:
+        at = [0]
+        while self.containers[at[0]][2] != "article":
+            alike: dict[str, list[int]] = {}
+            for i in sorted(c for x in at for c in below.get(x, ())):
+                alike.setdefault(self.containers[i][1], []).append(i)
+            if not alike:
                 break
-            if plain[child] == plain[at] and every[child] < every[at]:
+            total = lambda of, chosen: sum(of[i] for i in chosen)
+            children = max(alike.values(), key=lambda x: (total(every, x), -x[0]))
+            most = total(every, children)
+            if not most or most < share * total(every, at):
                 break
-            at = child
+            if total(plain, children) == total(plain, at) and most < total(every, at):
+                break
+            left = [n for _, n in self.outside(children)]
+            if left and (max(left) > STUB or sum(left) > FEW * plain[0]):
+                break
+            at = children
         return at
 
-    def text(self, path: str | None, least: float = 0.2) -> str:
-        """The text under the heaviest container on the path, if it holds enough; else under the best one."""
+    def text(self, path: str | None, known: Iterable[str] = (), least: float = 0.2) -> str:
+        """The text under all containers on the path, if they hold enough; else under the best ones.
+
+        Plain text outside them that stands on no ``known`` path is text that they would lose.
+        """
         every, _ = self.weights()
         chosen = self.best()
         if path is not None:
-            found = [i for i, c in enumerate(self.containers) if c[1] == path]
-            if found:
-                voted = max(found, key=lambda i: (every[i], -i))
-                if every[voted] >= least * every[chosen]:
+            voted = [i for i, c in enumerate(self.containers) if c[1] == path]
+            if voted and sum(every[i] for i in voted) >= least * sum(every[i] for i in chosen):
+                if {p for p, _ in self.outside(voted)} <= set(known):
                     chosen = voted
-        within = [False] * len(self.containers)
-        for i, (parent, _, _) in enumerate(self.containers):
-            within[i] = i == chosen or parent >= 0 and within[parent]
-        return "\n".join(text for at, text, _, _ in self.blocks if within[at])
+        held = self.within(chosen)
+        return "\n".join(text for at, text, _, _ in self.blocks if held[at])
 
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)"
@@ -250,24 +281,32 @@ def host_of(url="url"):
 
 
 def winning_paths(pages: DataFrame) -> DataFrame:
-    """``host, path``: the path that most pages of a host vote for; the first by name among equals.
+    """``host, path, known``: the path that most pages of a host vote for; the first by name among equals.
 
-    Pages without text don't vote.
+    ``known`` are the paths on which at least half of the pages with that vote have plain text outside
+    it. Pages without text don't vote.
     """
 
     def make():
         def run(c):
-            paths = []
+            paths, left = [], []
             for html in c["html"]:
                 page = Page(html or "")
-                paths.append(page.containers[page.best()][1] if page.blocks else None)
-            return {"host": c["host"], "path": paths}
+                best = page.best()
+                paths.append(page.containers[best[0]][1] if page.blocks else None)
+                left.append(sorted({p for p, _ in page.outside(best)}))
+            return {"host": c["host"], "path": paths, "left": left}
 
         return run
 
-    voted = arrow_map(pages.select(host_of().alias("host"), "html"), make, "host string, path string")
-    counts = voted.where("path is not null").groupBy("host", "path").agg(F.count("*").alias("votes"))
-    return counts.groupBy("host").agg(F.min_by("path", F.struct(-F.col("votes"), "path")).alias("path"))
+    voted = arrow_map(pages.select(host_of().alias("host"), "html"), make, "host string, path string, left array<string>")
+    # A row without a left path is the vote itself.
+    each = voted.where("path is not null").select("host", "path", F.explode(F.concat(F.array(F.lit(None).cast("string")), "left")).alias("left"))
+    counts = materialize(each.groupBy("host", "path", "left").agg(F.count("*").alias("n")), "host-votes")
+    best = counts.where("left is null").groupBy("host").agg(F.min_by(F.struct("path", F.col("n").alias("votes")), F.struct(-F.col("n"), "path")).alias("w"))
+    best = best.select("host", "w.path", "w.votes")
+    often = counts.where("left is not null").join(best, ["host", "path"]).where("2 * n >= votes").groupBy("host").agg(F.sort_array(F.collect_list("left")).alias("known"))
+    return best.join(often, "host", "left").select("host", "path", F.coalesce("known", F.array().cast("array<string>")).alias("known"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -288,12 +327,12 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def make():
         def run(c):
-            text = [Page(h or "").text(p) for h, p in zip(c["html"], c["path"], strict=True)]
+            text = [Page(h or "").text(p, k or ()) for h, p, k in zip(c["html"], c["path"], c["known"], strict=True)]
             return {"page_id": c["page_id"], "url": c["url"], "text": text}
 
         return run
 
-    return arrow_map(both.select("page_id", "url", "html", "path"), make, "page_id bigint, url string, text string")
+    return arrow_map(both.select("page_id", "url", "html", "path", "known"), make, "page_id bigint, url string, text string")
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

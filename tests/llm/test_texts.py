@@ -160,6 +160,22 @@ def test_consensus_of_a_host(spark, no_docs):
     assert extract(pages).count() == 9 and extract(pages.limit(0)).count() == 0
 
 
+def test_articles_over_sibling_containers_stay_whole(spark):
+    a, b = "the first part of it " * 14, "and the second part " * 6
+    want = f"{a.strip()}\n{b.strip()}"
+    for tag in ("section", "div class=story", "article"):
+        assert Page(f"<main><{tag}><p>{a}</{tag.split()[0]}><{tag}><p>{b}</{tag.split()[0]}></main>").text(None) == want
+    assert Page(f"<main><div class=lead><p>{a}</div><div class=more><p>{b}</div></main>").text(None) == want
+    links = "<a href=x>one of many links</a> " * 9
+    assert Page(f"<main><div class=story><p>{a}</div><div class=links><p>{links}</div></main>").text(None) == a.strip()
+    one, part, other = "<body><div class=part><p>{}</p></div></body>", "<div class=part><p>{}</p></div>", "<div class=other><p>{}</p></div>"
+    parts = [f"part {i} of the article, " * 5 for i in range(5)]
+    rows = [(i, "http://h.example/", one.format(a)) for i in range(6)]
+    rows += [(7, "http://h.example/", f"<body>{''.join(map(part.format, parts))}</body>"), (8, "http://h.example/", f"<body>{part.format(parts[0])}{''.join(map(other.format, parts[1:]))}</body>")]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got[7] == got[8] == "\n".join(x.strip() for x in parts) and got[0] == a.strip()
+
+
 def shingles(text, size=5):
     w = [x for x in "".join(" " if c in " \t\n\x0b\x0c\r" else c for c in text).split(" ") if x]
     return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
