@@ -147,6 +147,46 @@ def test_cluster_edges(spark):
         similarity.clusters(df, 0.5, "ward")
 
 
+@pytest.mark.parametrize("linkage", similarity.LINKAGES)
+def test_wide_labels_equal_the_matrix(linkage):
+    rng = np.random.default_rng(2)
+    for dims, threshold in ((3, 0.9), (8, 0.5), (16, 0.3), (16, -0.5)):
+        v, sizes = rng.normal(size=(200, dims)), rng.integers(1, 9, 200)
+        want = similarity.linkage_labels(v, threshold, linkage, sizes).tolist()
+        for links in (0, similarity.LINKS):
+            assert similarity.wide_labels(v, threshold, linkage, sizes, links).tolist() == want
+        each = np.repeat(np.arange(200), sizes)
+        whole = similarity.linkage_labels(v[each], threshold, linkage)
+        first = np.searchsorted(each, np.arange(200))
+        assert each[whole[first]].tolist() == want
+
+
+def test_a_forest_of_pairs_has_the_same_components(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "TILE", 40)
+    rng = np.random.default_rng(4)
+    v = np.concatenate([rng.normal(size=(90, 4)), rng.normal(scale=0.01, size=(60, 4)) + 1])
+    df = spark.createDataFrame(pd.DataFrame({"id": range(150), "embedding": list(v.tolist())}))
+    every, some = (similarity.similar_pairs(df, 0.93, f) for f in (False, True))
+    assert some.count() < every.count() / 3 and some.where("a >= b").count() == 0
+    assert set(map(tuple, some.select("a", "b").collect())) <= set(map(tuple, every.select("a", "b").collect()))
+    a, b = ({r.id: r.component for r in connected_components(x, "a", "b").collect()} for x in (every, some))
+    assert a == b
+
+
+def test_components_over_5000_are_clustered(spark):
+    rng = np.random.default_rng(3)
+    angles = np.sort(rng.uniform(0, 2 * np.pi, 5200))
+    v = np.stack([np.cos(angles), np.sin(angles)], axis=1)
+    threshold = np.cos(0.02)
+    df = spark.createDataFrame(pd.DataFrame({"id": range(len(v)), "embedding": list(v.tolist())}))
+    got = {r.id: r.cluster_id for r in similarity.clusters(df, threshold).collect()}
+    assert [got[i] for i in range(len(v))] == similarity.wide_labels(v, threshold, "average", links=0).tolist()
+    copies = spark.range(5001).selectExpr("id", "array(1D, 2D) AS embedding")
+    others = spark.createDataFrame([(9000, [2.0, 4.1]), (9001, [-1.0, 0.0]), (9002, [float("nan"), 1.0]), (9003, [float("nan"), 1.0])], "id bigint, embedding array<double>")
+    got = {r.id: r.cluster_id for r in similarity.clusters(copies.unionByName(others), 0.9).collect()}
+    assert got == {**dict.fromkeys([*range(5001), 9000], 0), 9001: 9001, 9002: 9002, 9003: 9003}
+
+
 def test_components_of_paths_stars_and_loops(spark):
     path = [(i, i + 1) for i in range(40)]
     star = [(1000, 1000 + i) for i in range(1, 30)]
