@@ -490,6 +490,12 @@ def cytoscape_edges(spark, sf_dir):
     return sinks.cytoscape_edges(_graph(spark, sf_dir)[1].where("label = 'in_region'"))
 
 
+# A customer's and a supplier's edge can have the same ord.
+@query("SELECT 'edge_' || (row_number() OVER (ORDER BY ord, source, target, label) - 1) AS id, source, target, label FROM " + _EDGES)
+def cytoscape_all_edges(spark, sf_dir):
+    return sinks.cytoscape_edges(_graph(spark, sf_dir)[1])
+
+
 @query(
     f"""
 SELECT id, CASE WHEN length(label) > 28 THEN left(label, 28) || '…' ELSE label END AS label, type,

@@ -231,6 +231,16 @@ def test_exports(spark, example, tmp_path):
     assert spark.read.csv(f"{tmp_path}/csv", header=True).columns == ["label", "type", "id"]
 
 
+def test_edges_are_numbered_in_ranges(spark):
+    df = spark.range(3000).selectExpr("concat('s', id) AS source", "'t' AS target", "'l' AS label", "CASE WHEN id % 500 = 7 THEN NULL ELSE (id * 7919) % 1000 END AS ord").repartition(5)
+    numbered = sinks.cytoscape_edges(df)
+    plan = df.sparkSession._jvm.PythonSQLUtils.explainString(numbered._jdf.queryExecution(), "simple")
+    assert "row_number" not in plan
+    order = sorted(df.collect(), key=lambda r: (r.ord is not None, r.ord or 0, r.source))
+    assert {r.id: r.source for r in numbered.collect()} == {f"edge_{i}": r.source for i, r in enumerate(order)}
+    assert sinks.cytoscape_edges(df.limit(0)).count() == 0
+
+
 def test_extraction_and_pipeline(spark):
     pages = spark.createDataFrame([(1, 1, "Marie Curie discovered Radium. Albert Einstein met Marie Curie."), (2, 1, "Albert Einstein wrote to Niels Bohr."), (3, 1, " ")], "doc_id bigint, page_number int, text string")
     result = Pipeline().run(pages, strict=True)
