@@ -11,6 +11,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import itertools
+import math
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -67,6 +68,28 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return spans
 
 
+def _blanked(text: str, token: str, low: int, high: int) -> str:
+    """``text[low:high]`` with a space for what it holds of the token's occurrences."""
+    n = len(token)
+    parts, at = [], low
+    i = text.find(token, max(0, low - n + 1), high + n - 1)
+    while i >= 0:
+        parts.append(text[at : max(at, min(i, high))])
+        at = min(high, i + n)
+        i = text.find(token, i + n, high + n - 1)
+    parts.append(text[at:high])
+    return " ".join(parts)
+
+
+def symbols(token: str) -> int:
+    """Size of the alphabet that the token's character classes make up; hexadecimal letters are a class of six."""
+    n = 10 if _DIGIT.search(token) else 0
+    for low, few in (("a", "f"), ("A", "F")):
+        letters = [c for c in token if low <= c <= chr(ord(low) + 25)]
+        n += (6 if max(letters) <= few else 26) if letters else 0
+    return n + len({c for c in token if not c.isalnum()})
+
+
 class Novelty:
     """Marginal compressed bytes of candidates against identifiers and the text around them."""
 
@@ -85,6 +108,10 @@ class Novelty:
         """Compressed bytes that the candidate adds after the context, for each of its own."""
         return (len(self.compress(context + b" " + candidate)) - len(self.compress(context))) / len(candidate)
 
+    def bound(self, token: str) -> float:
+        """``least`` is for letters of both cases and digits; smaller alphabets carry fewer bits."""
+        return self.least * min(1.0, math.log2(symbols(token)) / math.log2(62))
+
     def spans(self, text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
         """Novel candidates that overlap no base span and start soon after a sensitive word."""
         found: list[tuple[int, int, str]] = []
@@ -104,9 +131,11 @@ class Novelty:
             at = bisect.bisect_left(starts, end) - 1
             if at >= 0 and reached[at] > start:
                 continue
-            around = text[max(0, start - self.around) : start] + text[end : end + self.around]
+            # A second copy would make the first one cheap, even one that the window's edge cuts.
+            low, high = max(0, start - self.around), end + self.around
+            around = _blanked(text, token, low, start) + _blanked(text, token, end, min(high, len(text)))
             # Some prose in front: a short text alone would give the compressor no table of its letters.
-            if self.marginal(_PROSE + around.encode("utf-8", "surrogatepass"), token.encode()) >= self.least:
+            if self.marginal(_PROSE + around.encode("utf-8", "surrogatepass"), token.encode()) >= self.bound(token):
                 found.append((start, end, "novel"))
         return found
 
@@ -121,7 +150,8 @@ def scan(docs: DataFrame, around: int = 400, reach: int = 48, least: float = 0.8
 
     Spans are strings ``kind:start:end`` by start, then kind. ``around`` characters on either side
     prime the compressor; a candidate starts at most ``reach`` characters after a sensitive word and
-    is reported if it costs ``least`` compressed bytes for each of its own. A null text counts as empty.
+    is reported if it costs ``least`` compressed bytes for each of its own, fewer if its alphabet is
+    smaller. Other copies of a candidate don't count as text around it. A null text counts as empty.
     Rows stay one to one; extra columns are left out.
     """
 

@@ -87,6 +87,21 @@ def test_novelty_tells_keys_from_words():
     assert [text[a:b] for a, b, _ in n.spans(text, [])] == ["qX7vP2mK9tR4wZ8sL1nB6cY3"]
 
 
+def test_novelty_of_repeated_keys_and_small_alphabets():
+    n, r = secrets.Novelty(), random.Random(5)
+    small = "abcdefghijklmnopqrstuvwxyz0123456789"
+    for alphabet, size in ((small + small[:26].upper(), 32), (small + small[:26].upper(), 64), (small, 64), ("0123456789ABCDEF", 64)):
+        for _ in range(20):
+            key = "7" + alphabet[10] + "".join(r.choice(alphabet) for _ in range(size - 2))
+            once = f"The service reads its access key {key} from the settings of the host."
+            twice = f"{once} Then it is sent in the header, as the api key {key} of the call."
+            assert [once[a:b] for a, b, _ in n.spans(once, [])] == [key]
+            assert [twice[a:b] for a, b, _ in n.spans(twice, [])] == [key, key]
+    # A copy that the context's edge cuts.
+    assert secrets._blanked("xxKEYKEYyyKEYzz", "KEY", 3, 11) == "  yy "
+    assert (secrets.symbols("abc123"), secrets.symbols("xyz123"), secrets.symbols("gZ1_-"), secrets.symbols("12ABCDEF")) == (16, 36, 64, 16)
+
+
 def test_secret_table(odd_docs, no_docs):
     rows = {r.doc_id: r for r in secrets.scan(odd_docs).where("doc_id is not null").collect()}
     assert (rows[16].n_assign, rows[16].n_access, rows[16].n_hex) == (1, 1, 1) and rows[1].spans == "" and rows[11].n_hex == 0
