@@ -133,18 +133,18 @@ def presence(sets: list[np.ndarray], vocabulary: np.ndarray) -> np.ndarray:
 def train(labelled: DataFrame, per_language: int = 400, landmarks: int = 64, ridge: float = 0.05) -> Model | None:
     """Fit on at most ``per_language`` texts of each language, the first ``landmarks`` of them landmarks.
 
-    ``labelled``: ``text, lang``. The sample is the texts with the smallest hashes; it is drawn in two
-    steps, so that no task orders all texts of a language. Texts without a letter are left out. Only
+    ``labelled``: ``text, lang``. The sample is the distinct texts with the smallest hashes; it is drawn in
+    two steps, so that no task orders all texts of a language. Copies count once. Texts without a letter are left out. Only
     the sample's n-gram codes reach the driver: at most ``per_language`` sets of each language.
     """
-    texts = labelled.select("lang", "text").where("lang is not null and text is not null")
-    sizes = texts.groupBy("lang").count().where("count > 0")
+    texts = labelled.select("lang", "text").where("lang is not null and text is not null").withColumn("h", F.xxhash64("text"))
+    sizes = texts.select("lang", "h").distinct().groupBy("lang").count()
     rate = F.least(F.lit(1.0), F.lit(3.0 * per_language + 60) / F.col("count"))
     unit = (F.col("h").bitwiseAND((1 << 30) - 1)) / float(1 << 30)
     counted = sizes.limit(FEW + 1).collect()
     if len(counted) <= FEW:  # so many rows may be broadcast; more join by shuffle
         sizes = F.broadcast(sizes.sparkSession.createDataFrame(counted, sizes.schema))
-    drawn = texts.withColumn("h", F.xxhash64("text")).join(sizes, "lang").where(unit < rate)
+    drawn = texts.join(sizes, "lang").where(unit < rate).groupBy("lang", "h").agg(F.min("text").alias("text"))
     order = Window.partitionBy("lang").orderBy(F.col("h").bitwiseAND((1 << 30) - 1), "h", "text")
     picked = drawn.select("lang", "h", "text", F.row_number().over(order).alias("rank")).where(F.col("rank") <= per_language)
 

@@ -191,6 +191,18 @@ def test_articles_over_sibling_containers_stay_whole(spark):
     assert got[7] == got[8] == "\n".join(x.strip() for x in parts) and got[0] == a.strip()
 
 
+def test_copies_count_once_in_training(spark, monkeypatch):
+    # One text copied 4,000 times, with the largest of many hashes, beside another language.
+    texts = spark.createDataFrame([(f"ein Text der oft steht {i}",) for i in range(200)], "text string")
+    hot = texts.orderBy(F.xxhash64("text").bitwiseAND((1 << 30) - 1).desc()).first().text
+    docs = spark.range(4000).select(F.lit("de").alias("lang"), F.lit(hot).alias("text"))
+    docs = docs.unionByName(spark.createDataFrame([("en", f"the house by the river {i}") for i in range(30)], "lang string, text string"))
+    fitted = []
+    monkeypatch.setattr(lang_id.Model, "fit", classmethod(lambda cls, rows, *a: fitted.extend(rows)))
+    lang_id.train(docs)
+    assert sorted(x for x, _ in fitted) == ["de"] + ["en"] * 30
+
+
 def shingles(text, size=5):
     w = [x for x in "".join(" " if c in " \t\n\x0b\x0c\r" else c for c in text).split(" ") if x]
     return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
