@@ -212,12 +212,72 @@ def test_a_text_longer_than_a_pass(spark, monkeypatch):
     assert starts == list(range(len(text.encode()) - 399))
 
 
-def test_the_family_doubles_its_levels(spark):
-    family = suffix_dedup.SuffixFamily(40, 12)
-    for k in range(7):
-        family.add(spark.createDataFrame([(k, k, prose(k % 5, 60))], "doc_id bigint, th bigint, text string"))
+def family_of(batches: list[list[str]], window: int, gram: int) -> tuple[suffix_dedup.SuffixFamily, set]:
+    """A family of the batches' stretches, and the windows that it found to repeat."""
+    family, all_ = suffix_dedup.SuffixFamily(window, gram), []
+    for batch in batches:
+        stretches = []
+        for text in batch:
+            data = np.frombuffer(text.encode(), np.uint8)
+            found = suffix_dedup.anchors(data, window, gram)
+            for p, lo, hi, inner in zip(*(found[k].tolist() for k in ("pos", "lo", "hi", "inner")), strict=True):
+                stretches.append((data[p - hi : p - lo + window].tobytes(), hi, False, inner))
+        family.add(stretches)
+        all_ += [s[0] for s in stretches]
+    assert [len(m) for m in family.marks] == [len(t) - window + 1 for t in all_]
+    return family, {t[i : i + window] for t, m in zip(all_, family.marks, strict=True) for i, x in enumerate(m) if x}
+
+
+def repeated(batches: list[list[str]], window: int) -> set:
+    texts = [t.encode() for batch in batches for t in batch]
+    seen = collections.Counter(t[i : i + window] for t in texts for i in range(len(t) - window + 1))
+    return {w for w, n in seen.items() if n > 1}
+
+
+def mosaics(seed: int, n: int) -> list[list[str]]:
+    """Batches of texts that share parts of many lengths, periodic ones as well."""
+    r = random.Random(seed)
+    pool = [prose(i, 30) for i in range(6)] + ["ab" * 60, "=" * 90, "abc" * 20 + "x" + "abc" * 20]
+    cut = lambda t: t[r.randrange(len(t) // 2) : len(t) - r.randrange(len(t) // 2)]
+    return [["".join(cut(r.choice(pool)) for _ in range(r.randrange(1, 6))) + prose(100 * seed + k, 12) for _ in range(4)] for k in range(n)]
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_the_family_finds_what_repeats(seed):
+    batches = mosaics(seed, 7)
+    family, found = family_of(batches, 40, 12)
+    assert found == repeated(batches, 40)
     assert [size for size, _ in family.levels] == [2, 1, 0]
-    assert {r.doc_id for r in family.alike().collect()} == {0, 1, 5, 6}
+    for _, level in family.levels:
+        assert level == sorted(level) and all(family.places[i][1] >= 0 for _, i in level)
+
+
+def test_the_family_needs_its_order(monkeypatch):
+    """With levels out of order the merge scan misses what repeats."""
+    batches = mosaics(1, 7)
+
+    def shuffled(self, a, b):
+        out = a + b
+        random.Random(5).shuffle(out)
+        return out
+
+    monkeypatch.setattr(suffix_dedup.SuffixFamily, "_merged", shuffled)
+    assert family_of(batches, 40, 12)[1] < repeated(batches, 40)
+
+
+@pytest.mark.parametrize("text", ["=" * 200_000, "-- " * 66_667, "abcdefg" * 400 + prose(5, 200) + "abcdefg" * 400])
+def test_stretches_of_periodic_texts(spark, text):
+    data = np.frombuffer(text.encode(), np.uint8)
+    found = suffix_dedup.anchors(data, 400, 50)
+    assert len(found["pos"]) < len(data) / 50
+    starts = [x for p, lo, hi in zip(found["pos"], found["lo"], found["hi"], strict=True) for x in range(p - hi, p - lo + 1)]
+    assert starts == list(range(len(data) - 399)) and (found["lo"] >= 0).all() and (found["hi"] <= 350).all()
+    docs = [(1, text), (2, text[:450]), (3, prose(9, 100))]
+    if len(text) < 10_000:
+        got = suffix_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+        assert sorted((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in got) == brute_repeats(docs, 400)
+    alone = suffix_dedup.remove_repeats(spark.createDataFrame([(1, "=" * 401), (2, "=" * 400 + "x" * 399)], "doc_id bigint, text string"))
+    assert {x.doc_id: x.n_removed for x in alone.collect()} == {1: 401, 2: 400}
 
 
 def brute_vectors(rows: list[tuple], cosine: float) -> dict:
