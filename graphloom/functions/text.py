@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space as Python's strip() and split() see it.
+#: White space as Python's strip() and split() see it, as one pattern and as all its characters.
 SPACE = r"[\s\x1c-\x1f]"
+SPACES = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 #: Display colours of entity types.
 TYPE_COLOURS = {
@@ -28,7 +29,7 @@ PROMPT_TAIL = "\n\nReturn a complete knowledge graph with entities and their rel
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U)\A{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def collapse(text: Column) -> Column:

@@ -6,10 +6,10 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import strip
+from graphloom.functions.text import SPACE, strip
 
 SIZE, OVERLAP = 3000, 300
 
@@ -27,31 +27,45 @@ def window_chunks(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, key
     text from another. Nothing is shuffled: a text's windows come from its own row.
     """
     check_window(size, overlap)
-    return _numbered(_windows(docs.select(key, "text"), size, overlap, [key]), [key])
+    return _windows(_bodies(docs.select(key, "text"), size, overlap), size, overlap).select(
+        key, F.col("place").cast("int").alias("chunk_id"), "start_char", "end_char", "text"
+    )
 
 
-def _windows(docs: DataFrame, size: int, overlap: int, keep: list[str]) -> DataFrame:
-    """An array of each row's windows that aren't blank, in order."""
-    step = size - overlap
-    body = docs.select(*keep, strip(F.col("text")).alias("body"))
-    n = F.length("body")
-    count = F.when(n <= size, F.lit(1)).otherwise(1 + F.ceil((n - size) / step)).cast("int")
+def _bodies(docs: DataFrame, size: int, overlap: int) -> DataFrame:
+    """Adds ``body``, the stripped text, its length ``n``, ``count`` of its windows, and the numbers of those that are ``blank``.
 
-    def window(k: Column) -> Column:
-        start = k * step
-        return F.struct(
-            start.alias("start_char"),
-            F.least(start + size, F.length("body")).alias("end_char"),
-            strip(F.substring(F.col("body"), start + 1, F.lit(size))).alias("text"),
-        )
+    A window can only be blank where white space runs on for a window's length, so few bodies are cut here.
+    """
+    step = size - overlap
+    body = docs.withColumn("body", strip(F.col("text"))).drop("text")
+    body, n = body.withColumn("n", F.length("body")), F.col("n")
+    body = body.withColumn("count", F.when(n <= size, F.lit(1)).otherwise(1 + F.ceil((n - size) / step)).cast("int"))
+    empty = F.filter(
+        F.sequence(F.lit(0), F.col("count") - 1),
+        lambda k: strip(F.substring(F.col("body"), k * step + 1, F.lit(size))) == "",
+    )
+    none = F.array().cast("array<int>")
+    return body.withColumn("blank", F.when((n == 0) | F.col("body").rlike(rf"(?U){SPACE}{{{size}}}"), empty).otherwise(none))
 
-    cut = body.where(n > 0).withColumn("chunks", F.transform(F.sequence(F.lit(0), count - 1), window))
-    return cut.select(*keep, F.filter("chunks", lambda c: c["text"] != "").alias("chunks"))
 
+def _windows(bodies: DataFrame, size: int, overlap: int) -> DataFrame:
+    """A row for each window that isn't blank: ``place`` among them, offsets and text.
 
-def _numbered(cut: DataFrame, keep: list[str]) -> DataFrame:
-    flat = cut.select(*keep, F.posexplode("chunks").alias("chunk_id", "c"))
-    return flat.select(*keep, "chunk_id", "c.start_char", "c.end_char", "c.text")
+    The numbers of the windows are exploded and each is cut from the body then, so the plan holds one
+    strip of the text. An outer explode and a null-safe filter let the optimizer infer none that would evaluate
+    it again in the scan.
+    """
+    start = F.col("k") * (size - overlap)
+    each = bodies.withColumn("k", F.explode_outer(F.sequence(F.lit(0), F.col("count") - 1)))
+    kept = each.where(F.col("k").isNotNull() & ~F.coalesce(F.array_contains("blank", F.col("k")), F.lit(False)))
+    return kept.select(
+        *[c for c in bodies.columns if c not in ("body", "n", "count", "blank")],
+        (F.col("k") - F.size(F.filter("blank", lambda b: b < F.col("k")))).alias("place"),
+        start.alias("start_char"),
+        F.least(start + size, F.col("n")).alias("end_char"),
+        strip(F.substring(F.col("body"), start + 1, F.lit(size))).alias("text"),
+    )
 
 
 def page_chunks(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
@@ -62,12 +76,12 @@ def page_chunks(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> D
     """
     check_window(size, overlap)
     numbered = pages.select("doc_id", F.coalesce("page_number", F.lit(0)).alias("page_number"), "text")
-    cut = _windows(numbered, size, overlap, ["doc_id", "page_number"]).withColumn("n", F.size("chunks"))
+    cut = _bodies(numbered, size, overlap)
     before = Window.partitionBy("doc_id").orderBy("page_number").rowsBetween(Window.unboundedPreceding, -1)
-    placed = cut.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    flat = placed.select("doc_id", "page_number", "base", F.posexplode("chunks").alias("k", "c"))
-    return flat.select(
-        "doc_id", (F.col("base") + F.col("k")).cast("bigint").alias("chunk_id"), "page_number", "c.start_char", "c.end_char", "c.text"
+    n = F.coalesce(F.col("count") - F.size("blank"), F.lit(0))
+    placed = cut.withColumn("base", F.coalesce(F.sum(n).over(before), F.lit(0)))
+    return _windows(placed, size, overlap).select(
+        "doc_id", (F.col("base") + F.col("place")).cast("bigint").alias("chunk_id"), "page_number", "start_char", "end_char", "text"
     )
 
 
