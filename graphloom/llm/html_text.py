@@ -9,7 +9,9 @@ there, or if plain text would be lost that stands where most pages with that vot
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterable
+from hashlib import blake2b
 from html import unescape
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,10 +24,8 @@ FEW_HOSTS = 20_000
 #: Plain lines up to this length, and of this share of a page's plain text, may be left behind.
 STUB, FEW = 40, 0.05
 
-_TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""",
-    re.S,
-)
+_TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_SPECIAL = re.compile(r"""[>"']""")
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -87,22 +87,77 @@ def _step(tag: str, attrs: dict[str, str]) -> str:
     return ".".join((tag, *names)) if names else tag
 
 
+class Markup:
+    """Ends of tags and comments, found in one pass over the whole text whatever is broken in it."""
+
+    def __init__(self, html: str):
+        self.html, self.size = html, len(html)
+        self.last = {c: html.rfind(c) for c in (">", '"', "'")}
+        #: Once no end of a tag is found but within quotes, quotes hide no more ends.
+        self.quotes = True
+
+    def next(self, at: int) -> tuple[int, int, re.Match | None]:
+        """Start and end of the next markup from ``at`` on, and the match of its name if it is a tag.
+
+        What isn't closed is text, but for comments, which run to the end.
+        """
+        html, size = self.html, self.size
+        start = html.find("<", at)
+        while start >= 0:
+            if html.startswith("<!--", start) or html.startswith("<![CDATA[", start):
+                close = "-->" if html[start + 2] == "-" else "]]>"
+                end = html.find(close, start + (4 if close == "-->" else 9))
+                return start, end + 3 if end >= 0 else size, None
+            if start < self.last[">"]:
+                if html[start + 1] in "!?":
+                    return start, html.index(">", start) + 1, None
+                name = _TAG.match(html, start)
+                if name:
+                    return start, self._end(name.end()), name
+            start = html.find("<", start + 1)
+        return size, size, None
+
+    def _end(self, at: int) -> int:
+        """End of the tag whose name ends at ``at``."""
+        first = at
+        while self.quotes:
+            m = _SPECIAL.search(self.html, at)
+            if not m:
+                self.quotes = False
+            elif m[0] == ">":
+                return m.end()
+            elif m.start() == self.last[m[0]]:
+                at = m.end()  # a quote that nothing closes is a character like others
+            else:
+                at = self.html.index(m[0], m.end()) + 1
+        return self.html.index(">", first) + 1
+
+
 class Page:
     """Blocks of text and the containers that hold them.
 
-    ``containers``: (parent, path); ``blocks``: (container, text, characters in links, is a heading).
+    ``containers``: (parent, path, tag), where a path is a digest of the steps from the root, so that deep
+    pages don't hold long ones; ``blocks``: (container, text, characters in links, is a heading).
     """
 
     def __init__(self, html: str):
         self.containers: list[tuple[int, str, str]] = [(-1, "", "")]
         self.blocks: list[tuple[int, str, int, bool]] = []
+        self._paths: dict[tuple[str, str], str] = {}
         self._parse(html)
 
+    def _path(self, above: str, step: str) -> str:
+        path = self._paths.get((above, step))
+        if path is None:
+            path = self._paths[above, step] = blake2b(f"{above}>{step}".encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
+        return path
+
     def _parse(self, html: str) -> None:
         stack: list[tuple[str, int, bool, bool]] = []  # tag, container, unwanted, within a site header
+        opened: dict[str, list[int]] = defaultdict(list)  # places in the stack by tag
         here, unwanted, header, links, heading = 0, False, False, 0, 0
         pieces: list[str] = []
-        linked = paragraphs = 0
+        linked = 0
 
         def flush() -> None:
             nonlocal linked
@@ -118,16 +173,19 @@ class Page:
             _, here, unwanted, header = stack[-1] if stack else ("", 0, False, False)
 
         def pop_to(i: int) -> None:
-            nonlocal links, heading, paragraphs
+            nonlocal links, heading
             if any(x[0] in BLOCKS for x in stack[i:]):
                 flush()
             for x in stack[i:]:
                 links -= x[0] == "a"
                 heading -= x[0] in HEADINGS
-                paragraphs -= x[0] == "p"
+                opened[x[0]].pop()
             del stack[i:]
             restore()
 
+        def nearest(tags: Iterable[str]) -> int:
+            return max((opened[t][-1] for t in tags if opened[t]), default=-1)
+
         def say(text: str) -> None:
             nonlocal linked
             if text and not unwanted and (not header or heading):
@@ -135,23 +193,17 @@ class Page:
                 if links:
                     linked += len(text.strip())
 
-        at, size = 0, len(html)
+        at, size, markup = 0, len(html), Markup(html)
         while at < size:
-            m = _TOKEN.search(html, at)
-            if not m:
-                say(html[at:])
-                break
-            say(html[at : m.start()])
-            at = m.end()
-            if m[2] is None:
+            start, end, name = markup.next(at)
+            say(html[at:start])
+            at = end
+            if name is None:
                 continue
-            tag = m[2].lower()
-            if m[1]:
-                i = len(stack) - 1
-                while i >= 0 and stack[i][0] != tag:
-                    i -= 1
-                if i >= 0:
-                    pop_to(i)
+            tag, inner = name[1].lower(), html[name.end() : end - 1]
+            if html[start + 1] == "/":
+                if opened[tag]:
+                    pop_to(opened[tag][-1])
                 elif tag in BLOCKS:
                     flush()
                 continue
@@ -166,37 +218,32 @@ class Page:
                 at = end.end() if end else size
                 continue
             if tag in BLOCKS:
-                if paragraphs:
-                    pop_to(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"))
+                if opened["p"]:
+                    pop_to(opened["p"][-1])
                 if tag in CLOSES:
                     closed, walls = CLOSES[tag]
-                    for i in range(len(stack) - 1, -1, -1):
-                        if stack[i][0] in walls:
-                            break
-                        if stack[i][0] in closed:
-                            pop_to(i)
-                            break
+                    if (i := nearest(closed)) > nearest(walls):
+                        pop_to(i)
                 flush()
-            if m[3] and not m[3].isspace():
+            if inner and not inner.isspace():
                 attrs = {
-                    a[1].lower(): unescape(a[2] or a[3] or a[4] or "") for a in _ATTRIBUTE.finditer(m[3])
+                    a[1].lower(): unescape(a[2] or a[3] or a[4] or "") for a in _ATTRIBUTE.finditer(inner)
                 }
             else:
                 attrs = {}
             # A site's header goes; that of an article keeps its headings.
             bad = unwanted or tag in DROPPED or bool(attrs) and _unwanted(tag, attrs)
-            if tag == "header" and not any(x[0] in ("article", "main") for x in stack):
+            if tag == "header" and not (opened["article"] or opened["main"]):
                 bad = True
             inside = header or tag == "header"
             if tag in CONTAINERS and not bad:
-                parent = self.containers[here]
-                self.containers.append((here, f"{parent[1]}>{_step(tag, attrs)}", tag))
+                self.containers.append((here, self._path(self.containers[here][1], _step(tag, attrs)), tag))
                 here = len(self.containers) - 1
-            if tag not in BLOCKS and m[3].endswith("/"):
+            if tag not in BLOCKS and inner.endswith("/"):
                 continue
             links += tag == "a"
             heading += tag in HEADINGS
-            paragraphs += tag == "p"
+            opened[tag].append(len(stack))
             stack.append((tag, here, bad, inside))
             unwanted, header = bad, inside
         flush()
@@ -233,10 +280,19 @@ class Page:
         What is left behind is more than headings, and is mostly links but for a few ``STUB`` lines.
         """
         every, plain = self.weights()
-        below: dict[int, list[int]] = {}
+        below: dict[int, list[int]] = defaultdict(list)
         for i, (parent, _, _) in enumerate(self.containers):
-            below.setdefault(parent, []).append(i)
-        at = [0]
+            below[parent].append(i)
+        # Of the plain text that each container holds itself and all that it holds: sum and longest line.
+        own = [(0, 0)] * len(self.containers)
+        for at, text, linked, heading in self.blocks:
+            if not (heading or linked * 2 >= len(text)):
+                own[at] = (own[at][0] + len(text), max(own[at][1], len(text)))
+        held = list(own)
+        for i in range(len(held) - 1, 0, -1):
+            up = self.containers[i][0]
+            held[up] = (held[up][0] + held[i][0], max(held[up][1], held[i][1]))
+        at, left, longest = [0], 0, 0
         while self.containers[at[0]][2] != "article":
             alike: dict[str, list[int]] = {}
             for i in sorted(c for x in at for c in below.get(x, ())):
@@ -250,25 +306,21 @@ class Page:
                 break
             if total(plain, children) == total(plain, at) and most < total(every, at):
                 break
-            left = [n for _, n in self.outside(children)]
-            if left and (max(left) > STUB or sum(left) > FEW * plain[0]):
+            behind = [own[i] for i in at] + [held[i] for same in alike.values() if same is not children for i in same]
+            left, longest = left + sum(n for n, _ in behind), max(longest, *(n for _, n in behind))
+            if longest > STUB or left > FEW * plain[0]:
                 break
             at = children
         return at
 
-    def text(self, path: str | None, known: Iterable[str] = (), least: float = 0.2) -> str:
-        """The text under all containers on the path, if they hold enough; else under the best ones.
+    def text(self, path: str | None, known: Iterable[str] = ()) -> str:
+        """The text under all containers on the path, if they lose nothing; else under the best ones.
 
         Plain text outside them that stands on no ``known`` path is text that they would lose.
         """
-        every, _ = self.weights()
-        chosen = self.best()
-        if path is not None:
-            voted = [i for i, c in enumerate(self.containers) if c[1] == path]
-            if voted and sum(every[i] for i in voted) >= least * sum(every[i] for i in chosen):
-                if {p for p, _ in self.outside(voted)} <= set(known):
-                    chosen = voted
-        held = self.within(chosen)
+        voted = [i for i, c in enumerate(self.containers) if c[1] == path] if path is not None else []
+        lost = {p for p, _ in self.outside(voted)} - set(known) if voted else True
+        held = self.within(self.best() if lost else voted)
         return "\n".join(text for at, text, _, _ in self.blocks if held[at])
 
 
@@ -281,7 +333,7 @@ def host_of(url="url"):
 
 
 def winning_paths(pages: DataFrame) -> DataFrame:
-    """``host, path, known``: the path that most pages of a host vote for; the first by name among equals.
+    """``host, path, known``: the path that most pages of a host vote for; the smallest digest among equals.
 
     ``known`` are the paths on which at least half of the pages with that vote have plain text outside
     it. Pages without text don't vote.
@@ -314,6 +366,10 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Null html counts as empty and gives empty text. Pages with null urls or urls without a host vote
     together. Rows stay one to one, repeated rows included; extra columns are left out.
+
+    Broken markup costs no more than whole markup: time and memory follow the page's length. A tag that is
+    never closed is text, an open comment runs to the end, a quote that nothing closes hides nothing, an
+    end tag that nothing opened only ends a block, and elements may be nested as deep as a page has them.
     """
     pages = only(pages, "page_id", "url", "html").select(
         F.col("page_id").cast("bigint").alias("page_id"),
