@@ -211,10 +211,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def language_stage(docs: DataFrame, least: float = 0.15) -> DataFrame:
-    """The documents whose language can be told: those with ``und`` or a score under ``least`` go.
+def language_stage(docs: DataFrame, languages: tuple[str, ...] | None = None, least: float = 0.0) -> DataFrame:
+    """The documents whose language is one of ``languages``, any learned one if None, with a score of ``least`` or more.
 
-    All columns stay as they are.
+    A text that is null or has no letter has no language and goes. A null ``lang`` becomes the language
+    that was found; a label that stands stays, whatever was found, and so do all other columns. Without a
+    labelled document nothing can be learned: then every text with a letter stays as it is.
     """
     known = only(docs, "doc_id", "text", "lang")
     model = train(known.where(~held_out() & F.col("doc_id").isNotNull()))
@@ -224,14 +226,24 @@ def language_stage(docs: DataFrame, least: float = 0.15) -> DataFrame:
     def run(batches):
         spectrum, m = _spectrum(), shared.value
         for batch in batches:
-            if m is None:
-                continue
-            texts, keep = batch.column(batch.schema.get_field_index("text")).to_pylist(), []
+            texts, found, keep = batch.column(batch.schema.get_field_index("text")).to_pylist(), [], []
             for i in range(0, len(texts), ROWS):
                 sets = [spectrum.codes(t or "") for t in texts[i : i + ROWS]]
-                best = m.scores(sets).max(axis=1)
-                keep += [bool(len(s)) and float(v) >= least for s, v in zip(sets, best, strict=True)]
-            yield batch.filter(pa.array(keep))
+                if m is None:
+                    found += [None] * len(sets)
+                    keep += [len(s) > 0 for s in sets]
+                    continue
+                values = m.scores(sets)
+                for s, row, j in zip(sets, values, values.argmax(axis=1), strict=True):
+                    found.append(m.languages[j])
+                    wanted = languages is None or m.languages[j] in languages
+                    keep.append(len(s) > 0 and wanted and (least <= 0 or float(row[j]) >= least))
+            at = batch.schema.get_field_index("lang")
+            if at >= 0 and m is not None:
+                old = batch.column(at).to_pylist()
+                new = [o if o is not None else f for o, f in zip(old, found, strict=True)]
+                batch = batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return docs.mapInArrow(run, docs.schema)
