@@ -3,11 +3,11 @@
 Targets share out all words by source weights, none above a multiple of what its source has. A
 document's expected copies are its source's target over its source's words. They are summed along the
 source's documents, one random offset is added, and a document is taken once for each integer that its
-stretch of the sum crosses.
+stretch of the sum crosses. The offset is the best of a few random ones, by the words that it takes.
 
-The running sum needs a document's place among its source's documents. Places are counted in blocks
-(size class, then a range of ids): block totals are aggregated first and summed over the few blocks, so
-no task holds a whole source, however large it is.
+The running sum needs a document's place among its source's documents, by size class and id. All rows are
+dealt by ranges of that order, so a source is spread over as many parts as its rows need; a part's rows
+are counted, and the counts are summed along the parts. No task holds a whole source.
 """
 
 from __future__ import annotations
@@ -16,10 +16,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import materialize, only, table
+from graphloom.session import discard
 
 WORDS = r"[^\x20\x09-\x0D]+"
-#: Ids that one block of a size class spans.
-BLOCK = 1 << 16
+#: Random offsets of which a source takes the one that comes nearest its target.
+DRAWS = 16
+#: Rows with one id and text that are numbered together.
+TOGETHER = 50_000
 #: No document is taken more often, and no target is above this many times its source's words.
 MOST = 3
 SEED = "mix"
@@ -66,51 +69,60 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
 def place(docs: DataFrame) -> DataFrame:
     """Adds ``place``, from 0, along ``source`` by (size class, doc_id, text hash); repeated rows take any order."""
     kind = F.floor(F.sqrt(F.col("size").cast("double"))).cast("bigint")
-    block = F.floor(F.coalesce(F.col("doc_id"), F.lit(-1)) / BLOCK)
-    docs = docs.withColumns({"kind": kind, "block": block})
-    totals = docs.groupBy("source", "kind", "block").agg(F.count("*").alias("n"))
-    along = Window.partitionBy("source").orderBy("kind", "block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(
-        F.col("source").alias("s"), F.col("kind").alias("k"), F.col("block").alias("b"),
-        F.coalesce(F.sum("n").over(along), F.lit(0)).alias("start"),
-    )
-    inside = Window.partitionBy("source", "kind", "block").orderBy(F.col("doc_id").asc_nulls_first(), "h")
-    numbered = docs.withColumn("i", F.row_number().over(inside) - 1)
-    joined = numbered.join(
-        starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("kind") == F.col("k")) & (F.col("block") == F.col("b"))
-    )
-    return joined.withColumn("place", F.col("start") + F.col("i")).drop("s", "k", "b", "start", "i", "kind", "block")
+    order = ("source", "kind", "doc_id", "h")
+    # The ranges come from a sample, so the part that a row falls in is written down.
+    dealt = docs.withColumn("kind", kind).repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    dealt = materialize(dealt, "mix-parts")
+    totals = dealt.groupBy("source", "part").agg(F.count("*").alias("n"))
+    along = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(F.col("source").alias("s"), F.col("part").alias("b"), F.coalesce(F.sum("n").over(along), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("source", "part").orderBy("kind", F.col("doc_id").asc_nulls_first(), "h")
+    numbered = dealt.withColumn("i", F.row_number().over(inside) - 1)
+    joined = numbered.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("b")))
+    return joined.withColumn("place", F.col("start") + F.col("i")).drop("s", "b", "start", "i", "kind", "part")
+
+
+def offset(source: Column, draw: int = 0, seed: str = SEED) -> Column:
+    """A number in [0, 1) that depends on the seed, the draw and the source alone."""
+    text = F.concat(F.lit(f"{seed}/{draw}/"), F.coalesce(source, F.lit("\x00null")))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
 
 
-def offset(source: Column, seed: str = SEED) -> Column:
-    """A number in [0, 1) that depends on the seed and the source alone."""
-    text = F.concat(F.lit(seed + "/"), F.coalesce(source, F.lit("\x00null")))
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+def _crossed(u: Column) -> Column:
+    """Integers in a document's stretch of the running sum."""
+    upto = lambda i: F.floor(u + i * F.col("rate"))
+    return upto(F.col("place") + 1) - upto(F.col("place"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST, seed: str = SEED) -> DataFrame:
-    """``doc_id, source, size, source_size, target, copies, taken`` for every row.
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST, seed: str = SEED, draws: int = DRAWS) -> DataFrame:
+    """``doc_id, source, h, size, source_size, target, copies, taken`` for every row.
 
-    ``size`` counts the text's words, 0 for a null text. ``taken`` is copies times size. Sources whose
-    documents have no words have target 0. Null sources are one source; null ids come first within
-    their size class. Equal inputs give equal results; repeated rows count one by one. Extra columns
-    are left out.
+    ``size`` counts the text's words, 0 for a null text, ``h`` is the text's hash. ``taken`` is copies
+    times size. Of ``draws`` random offsets a source takes the one with which its taken words come nearest
+    its target, the first of equals. Sources whose documents have no words have target 0. Null sources are
+    one source; null ids come first within their size class. Equal inputs give equal results; repeated
+    rows count one by one. Extra columns are left out.
     """
     slim = only(docs, "doc_id", "source", "text").select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         words_in(F.col("text").cast("string")).alias("size"),
-        F.xxhash64("text").alias("h"),
+        F.xxhash64(F.col("text").cast("string")).alias("h"),
     )
     slim = materialize(slim, "mix-sizes")
     sums = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
-    goals = targets(sums, weights, most).select(F.col("source").alias("s"), "source_size", "target")
-    placed = place(slim).join(goals, F.col("source").eqNullSafe(F.col("s"))).drop("s", "h")
+    goals = targets(sums, weights, most)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    upto = lambda i: F.floor(F.col("u") + i * F.col("rate"))
-    copies = F.least(upto(F.col("place") + 1) - upto(F.col("place")), F.lit(most))
-    return placed.withColumns({"u": offset(F.col("source"), seed), "rate": rate}).select(
-        "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
+    goals = materialize(goals.withColumn("rate", rate).withColumnRenamed("source", "s"), "mix-goals")
+    placed = materialize(place(slim).join(goals, F.col("source").eqNullSafe(F.col("s"))).drop("s"), "mix-placed")
+    discard(slim)
+    taken = [F.sum(_crossed(offset(F.col("source"), k, seed)) * F.col("size")).alias(f"t{k}") for k in range(draws)]
+    tried = placed.groupBy("source", "target").agg(*taken)
+    misses = F.array(*[F.struct(F.abs(F.col(f"t{k}") - F.col("target")), F.lit(k), offset(F.col("source"), k, seed).alias("u")) for k in range(draws)])
+    chosen = tried.select(F.col("source").alias("s"), F.array_min(misses)["u"].alias("u"))
+    copies = _crossed(F.col("u"))
+    return placed.join(chosen, F.col("source").eqNullSafe(F.col("s"))).select(
+        "doc_id", "source", "h", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
     )
 
 
@@ -146,27 +158,64 @@ WITH d AS (
                    / (SELECT weight FROM a AS b WHERE b.k = f.k) END AS target
   FROM a, f
 ), p AS (
-  SELECT d.doc_id, d.size, g.source_size, g.target,
-         CAST('0x' || substr(md5('mix/' || coalesce(d.source, chr(0) || 'null')), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u,
+  SELECT d.doc_id, d.source, d.size, g.source_size, g.target,
          CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0.0 END AS rate,
          row_number() OVER (PARTITION BY d.source ORDER BY floor(sqrt(CAST(d.size AS DOUBLE))), d.doc_id) - 1 AS i
   FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source
+), u AS (
+  SELECT s.source, r.k,
+         CAST('0x' || substr(md5('mix/' || r.k || '/' || coalesce(s.source, chr(0) || 'null')), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u
+  FROM s, range(16) AS r(k)
+), x AS (
+  SELECT p.source, u.u, row_number() OVER (
+           PARTITION BY p.source
+           ORDER BY abs(sum((floor(u.u + (p.i + 1) * p.rate) - floor(u.u + p.i * p.rate)) * p.size) - min(p.target)), u.k) AS best
+  FROM p JOIN u ON p.source IS NOT DISTINCT FROM u.source GROUP BY p.source, u.k, u.u
 )
-SELECT doc_id, size, source_size, target,
-       CAST(least(floor(u + (i + 1) * rate) - floor(u + i * rate), 3) AS BIGINT) * size AS taken
-FROM p
+SELECT p.doc_id, p.size, p.source_size, p.target,
+       CAST(floor(x.u + (p.i + 1) * p.rate) - floor(x.u + p.i * p.rate) AS BIGINT) * p.size AS taken
+FROM p JOIN x ON p.source IS NOT DISTINCT FROM x.source AND x.best = 1
 """
 
 
 def mixing_stage(docs: DataFrame) -> DataFrame:
     """The documents, each as often as the mix takes it: left out, once, or up to three times.
 
-    Copies carry the same ``doc_id``. All columns stay as they are.
+    Copies carry the same ``doc_id``. All columns stay as they are. Rows with one id, text and source are
+    as many as the mix takes of them together, shared out as evenly as can be.
     """
-    kept = mix(docs).where("copies > 0").groupBy("doc_id", "size").agg(F.max("copies").alias("copies"))
-    kept = kept.select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("copies").alias("__copies"))
-    sized = docs.withColumn("__n", words_in(F.col("text")))
-    both = sized.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__n") == F.col("__size")))
-    return both.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(
-        *[f"`{c}`" for c in docs.columns]
+    key = ("__id", "__h", "__s")
+    mixed = mix(docs).groupBy(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("source").alias("__s"))
+    mixed = materialize(mixed.agg(F.count("*").alias("__m"), F.sum("copies").alias("__c")).where("__c > 0"), "mix-copies")
+    keyed = docs.withColumns(
+        {
+            "__id": F.col("doc_id").cast("bigint"),
+            "__h": F.xxhash64(F.col("text").cast("string")),
+            "__s": F.col("source").cast("string"),
+        }
+    )
+    names = [f"`{c}`" for c in docs.columns]
+
+    def taken(rows: DataFrame, copies: Column) -> DataFrame:
+        return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), copies.cast("int")))).select(*names)
+
+    def among(few: DataFrame) -> DataFrame:
+        other = few.select(*[F.col(k).alias(f"{k}2") for k in key], "__m", "__c")
+        return keyed.join(other, F.expr(" AND ".join(f"{k} <=> {k}2" for k in key)))
+
+    out = taken(among(mixed.where("__m = 1")), F.col("__c"))
+    if not mixed.where("__m > 1").limit(1).count():
+        return out
+    salt = F.floor(F.rand(7) * F.ceil(F.col("__m") / F.lit(TOGETHER)))
+    same = materialize(among(mixed.where("__m > 1")).withColumn("__salt", salt), "mix-same")
+    totals = same.groupBy(*key, "__salt").agg(F.count("*").alias("n"))
+    along = Window.partitionBy(*key).orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(
+        *[F.col(k).alias(f"{k}3") for k in key], F.col("__salt").alias("__t"), F.coalesce(F.sum("n").over(along), F.lit(0)).alias("__start")
     )
+    inside = Window.partitionBy(*key, "__salt").orderBy("__salt")
+    numbered = same.withColumn("__i", F.row_number().over(inside))
+    numbered = numbered.join(starts, F.expr(" AND ".join(f"{k} <=> {k}3" for k in key) + " AND __salt = __t"))
+    each = F.floor(F.col("__c") / F.col("__m")) + F.when(F.col("__start") + F.col("__i") <= F.col("__c") % F.col("__m"), 1).otherwise(0)
+    numbered = numbered.withColumn("__each", each).where("__each > 0")
+    return out.unionByName(taken(numbered, F.col("__each")))
