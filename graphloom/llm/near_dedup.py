@@ -5,29 +5,34 @@ the low bits of the minima, packed, estimate a candidate's similarity from the n
 corrected for fields that are equal by chance; what may reach the threshold is confirmed on the full
 sets. Documents with equal sets are one class and take part once.
 
-Documents that share buckets, directly or through others, are a family. Its members aren't paired with
-each other: all are compared with one hub, the member that shares most buckets. Those that the hub
-doesn't link are then compared with the whole family, in blocks that hold the full sets, so no link that
-joins components is missed and no pair but the confirmed ones leaves a task.
+The members of a bucket aren't paired with each other: all are compared with one hub of the bucket, and
+what the hubs' links join, over all buckets, needs no further link. Where a bucket still holds members of
+several components, those apart from its hub's are compared with all of the bucket, in blocks: first by
+the estimate, which only marks members, then the marked ones by the full sets. So no link that joins
+components is missed, and only links leave a task.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import arrow_map, bitmap, matching, materialize, only, sift, table
 from graphloom.operators.components import connected_components
+from graphloom.session import discard
 
 MINIMA = 128
 #: Minima of a band: pairs at 0.85 share one of the 32 bands but for 6 in 10^11, at 0.8 but for 5 in 10^8.
 ROWS = 4
 #: Low bits kept of each minimum.
 BITS = 4
-#: Members of one block on the side of those without a link, and on the side of the whole family.
+#: Members of one block on the side of those apart, and on the side of the whole bucket.
 SIDE, ACROSS = 256, 1024
+#: Documents that are compared with a copy of their hub's set in one task.
+SPOKES = 512
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Odd factors and addends of the minima's hash functions.
@@ -162,47 +167,101 @@ def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """``a, b`` of the pairs whose sets' similarity reaches the threshold."""
+    """``a, b`` of the pairs whose sets' similarity reaches the threshold.
+
+    An ``a`` of many pairs is dealt to many groups; each gets its set once.
+    """
     hundredths = round(threshold * 100)
-    both = pairs.select("a", "b").join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa")), "a")
-    both = both.join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("sb")), "b")
+    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / SPOKES).cast("int").alias("salts"))
+    salted = pairs.select("a", "b").join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
+    left = salted.join(sets.select(F.col("cid").alias("b"), "shingles"), "b").select("a", "salt", "b", "shingles")
+    right = sets.select(F.col("cid").alias("a"), "shingles").join(salts, "a")
+    right = right.select("a", F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"), F.col("shingles").alias("own"))
+
+    def compare(x: pa.Table, y: pa.Table) -> pa.Table:
+        found = {"a": [], "b": []}
+        if x.num_rows and y.num_rows:
+            own = [np.frombuffer(s, np.uint64) for s in set(y["own"].to_pylist())]
+            for other, shingles in zip(x["b"].to_pylist(), x["shingles"].to_pylist(), strict=True):
+                if any(reaches(s, np.frombuffer(shingles, np.uint64), hundredths) for s in own):
+                    found["a"].append(y["a"][0].as_py())
+                    found["b"].append(other)
+        return pa.table(found, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    return left.groupBy("a", "salt").cogroup(right.groupBy("a", "salt")).applyInArrow(compare, "a bigint, b bigint")
+
+
+def reaches(x: np.ndarray, y: np.ndarray, hundredths: int) -> bool:
+    """Whether two ascending sets' similarity is at least so many hundredths."""
+    n, m = len(x), len(y)
+    if 100 * min(n, m) < hundredths * max(n, m):
+        return False
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * shared >= hundredths * (n + m - shared)
+
+
+def _blocks(members: DataFrame, *columns: str) -> DataFrame:
+    """``key, i, j, side, cid, comp`` and columns: members ``apart`` from their bucket's hub, cut into parts
+    (side 0), beside all members of the bucket (side 1), cut as well; each two parts are a group."""
+    counts = members.groupBy("key").agg(
+        F.ceil(F.count_if("apart") / SIDE).cast("int").alias("parts"), F.ceil(F.count("*") / ACROSS).cast("int").alias("across")
+    )
+    cut = members.join(counts.where("parts > 0"), "key")
+    left = F.pmod(F.xxhash64(F.lit(3), "cid"), F.col("parts")).cast("int")
+    right = F.pmod(F.xxhash64(F.lit(5), "cid"), F.col("across")).cast("int")
+    kept = ("key", "i", "j", "side", "cid", "comp", *columns)
+    one = cut.where("apart").withColumns({"i": left, "side": F.lit(0)}).withColumn("j", F.explode(F.expr("sequence(0, across - 1)")))
+    two = cut.withColumns({"j": right, "side": F.lit(1)}).withColumn("i", F.explode(F.expr("sequence(0, parts - 1)")))
+    return one.select(*kept).unionByName(two.select(*kept))
 
-    def make():
-        def run(c):
-            a, b = [], []
-            for i, j, x, y in zip(c["a"], c["b"], c["sa"], c["sb"], strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                shared = len(np.intersect1d(p, q, assume_unique=True))
-                if 100 * shared >= hundredths * (len(p) + len(q) - shared):
-                    a.append(i)
-                    b.append(j)
-            return {"a": a, "b": b}
 
-        return run
+def _signed(members: pd.DataFrame) -> np.ndarray:
+    return np.array(members["sig"].to_list(), np.int64).view(np.uint64)
+
 
-    return arrow_map(both.select("a", "b", "sa", "sb"), make, "a bigint, b bigint")
+def _alike(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    """Which of the packed signatures ``y`` may be as similar to ``x``."""
+    d = y ^ x
+    d |= d >> np.uint64(1)
+    d |= d >> np.uint64(2)
+    differ = np.bitwise_count(d & np.uint64(0x1111111111111111)).sum(axis=1) / MINIMA
+    chance = 1 / 2**BITS
+    return (1 - differ - chance) / (1 - chance) >= least
+
+
+def _marked(members: DataFrame, threshold: float) -> DataFrame:
+    """``key, cid`` of members that may be linked with one of another component in their bucket."""
+    least = lowest_estimate(threshold)
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        if not len(left) or not len(right):
+            return pd.DataFrame()
+        x, y, mine, other = _signed(left), _signed(right), left["comp"].to_numpy(), right["comp"].to_numpy()
+        one, two = np.zeros(len(x), bool), np.zeros(len(y), bool)
+        for r in range(len(x)):
+            hit = _alike(x[r], y, least) & (other != mine[r])
+            one[r] = hit.any()
+            two |= hit
+        ids = np.concatenate((left["cid"].to_numpy()[one], right["cid"].to_numpy()[two]))
+        return pd.DataFrame({"key": np.full(len(ids), pdf["key"].iloc[0]), "cid": ids})
+
+    return _blocks(members, "sig").groupBy("key", "i", "j").applyInPandas(compare, "key bigint, cid bigint").distinct()
 
 
 def _rest(members: DataFrame, threshold: float) -> DataFrame:
-    """``a, b``: confirmed links of ``fam, cid, sig, shingles, alone, parts, across`` that join components.
+    """``a, b``: confirmed links of ``key, cid, comp, apart, sig, shingles`` that join components.
 
-    Members that are ``alone`` meet all members of their family. The first are cut into ``parts`` and the
-    whole family into ``across``; each two parts are compared in a task of their own, which gives a link
-    for each two of its members' groups that it joins.
+    Each block gives a link for each two of its components that it joins.
     """
-    left = F.pmod(F.xxhash64(F.lit(3), "cid"), F.col("parts")).cast("int")
-    right = F.pmod(F.xxhash64(F.lit(5), "cid"), F.col("across")).cast("int")
-    kept = ("fam", "i", "j", "side", "cid", "sig", "shingles")
-    one = members.where("alone").withColumns({"i": left, "side": F.lit(0)}).withColumn("j", F.explode(F.expr("sequence(0, across - 1)")))
-    two = members.withColumns({"j": right, "side": F.lit(1)}).withColumn("i", F.explode(F.expr("sequence(0, parts - 1)")))
-    hundredths, least, chance = round(threshold * 100), lowest_estimate(threshold), 1 / 2**BITS
+    hundredths, least = round(threshold * 100), lowest_estimate(threshold)
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
         if not len(left) or not len(right):
             return pd.DataFrame()
-        x, y = (np.array(p["sig"].to_list(), np.int64).view(np.uint64) for p in (left, right))
-        ix, iy = left["cid"].to_list(), right["cid"].to_list()
+        x, y = _signed(left), _signed(right)
+        ix, iy, cx, cy = (p[k].to_list() for k in ("cid", "comp") for p in (left, right))
         sx, sy = ([np.frombuffer(b, np.uint64) for b in p["shingles"]] for p in (left, right))
         parent: dict[int, int] = {}
 
@@ -214,25 +273,14 @@ def _rest(members: DataFrame, threshold: float) -> DataFrame:
 
         out = []
         for r in range(len(x)):
-            d = y ^ x[r]
-            d |= d >> np.uint64(1)
-            d |= d >> np.uint64(2)
-            differ = np.bitwise_count(d & np.uint64(0x1111111111111111)).sum(axis=1) / MINIMA
-            for k in np.flatnonzero((1 - differ - chance) / (1 - chance) >= least).tolist():
-                p, q = top(ix[r]), top(iy[k])
-                if p == q:
-                    continue
-                n, m = len(sx[r]), len(sy[k])
-                if 100 * min(n, m) < hundredths * max(n, m):
-                    continue
-                shared = len(np.intersect1d(sx[r], sy[k], assume_unique=True))
-                if 100 * shared >= hundredths * (n + m - shared):
+            for k in np.flatnonzero(_alike(x[r], y, least)).tolist():
+                p, q = top(cx[r]), top(cy[k])
+                if p != q and reaches(sx[r], sy[k], hundredths):
                     parent[max(p, q)] = min(p, q)
                     out.append((min(ix[r], iy[k]), max(ix[r], iy[k])))
         return pd.DataFrame(out, columns=["a", "b"]) if out else pd.DataFrame()
 
-    both = one.select(*kept).unionByName(two.select(*kept))
-    return both.groupBy("fam", "i", "j").applyInPandas(compare, "a bigint, b bigint")
+    return _blocks(members, "sig", "shingles").groupBy("key", "i", "j").applyInPandas(compare, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -241,7 +289,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -
     Documents are linked if the shared shingles are at least ``threshold`` of both sets together (in
     whole hundredths); a component's id is its smallest doc_id, and that document is kept. Texts without
     words are linked with nothing. Rows with a null doc_id are counted but take no part: their
-    component is null and they aren't kept. Repeated rows give equal results. Extra columns are left out.
+    component is null and they aren't kept. Repeated rows give equal results. Rows of one doc_id with
+    different texts are one document, linked by any of its texts. Extra columns are left out.
     """
     slim = only(docs, "doc_id", "text").select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")
@@ -249,8 +298,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -
     drawn = materialize(sketches(slim, shingle), "sketches")
     filled = drawn.where("n > 0 and doc_id is not null")
     classes = materialize(filled.groupBy("class").agg(F.min("doc_id").alias("cid")), "classes")
-    chosen = drawn.join(classes.select(F.col("cid").alias("doc_id")), "doc_id", "left_semi").where("n > 0")
-    chosen = chosen.dropDuplicates(["doc_id"]) if _twice(chosen) else chosen
+    chosen = drawn.join(classes.select("class", F.col("cid").alias("doc_id")), ["class", "doc_id"], "left_semi").where("n > 0")
+    chosen = chosen.dropDuplicates(["class"]) if _several(chosen.groupBy("class").agg(F.count("*").alias("k"))) else chosen
     banded = chosen.select(F.col("doc_id").alias("cid"), "sig", F.explode("bands").alias("key"))
     full = banded.groupBy("key").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo < hi").select("key")
     full = materialize(full, "bands")
@@ -258,6 +307,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -
     members = materialize(members, "members")
     links = _links(slim, members, shingle, threshold)
     out = drawn.select("doc_id", "n", "class").join(classes, "class", "left")
+    texts = filled.groupBy("doc_id").agg(F.min("class").alias("x"), F.max("class").alias("y"))
+    several = texts.where("x < y").select("doc_id")
+    if several.limit(1).count():
+        own = filled.join(several, "doc_id").join(classes, "class").select(F.col("doc_id").alias("a"), F.col("cid").alias("b")).distinct()
+        links = own if links is None else links.unionByName(own)
     if links is not None:
         groups = connected_components(links, "a", "b").select(F.col("id").alias("cid"), "component")
         out = out.join(groups, "cid", "left")
@@ -273,40 +327,44 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -
     )
 
 
-def _twice(chosen: DataFrame) -> bool:
-    return chosen.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+def _several(counts: DataFrame) -> bool:
+    return counts.where("k > 1").limit(1).count() > 0
 
 
 def _links(docs: DataFrame, members: DataFrame, shingle: int, threshold: float) -> DataFrame | None:
-    """``a, b``: confirmed links, enough of them to join every component; None if there is none."""
+    """``a, b``: confirmed links, enough of them to join every component; None if there is none.
+
+    ``members``: ``key, cid, sig``, a row for each document of each bucket.
+    """
     least = lowest_estimate(threshold)
     if not members.limit(1).count():
         return None
-    sizes = members.groupBy("key").agg(F.count("*").alias("m"), F.min("cid").alias("lo"))
-    shared = members.join(sizes, "key")
-    families = connected_components(shared.select("lo", "cid").distinct(), "lo", "cid")
-    families = families.select(F.col("id").alias("cid"), F.col("component").alias("fam"))
-    weights = shared.groupBy("cid").agg(F.sum("m").alias("weight"), F.first("sig").alias("sig"))
-    placed = materialize(weights.join(families, "cid"), "families")
-    sets = materialize(_sets(docs, placed.select("cid"), shingle), "sets")
-    hubs = placed.groupBy("fam").agg(
-        F.count("*").alias("size"), F.max(F.struct("weight", (-F.col("cid")).alias("neg"), "sig")).alias("hub")
-    )
-    hubs = hubs.select("fam", "size", (-F.col("hub.neg")).alias("hub"), F.col("hub.sig").alias("hub_sig"))
-    spoked = placed.join(hubs, "fam").where("cid <> hub")
-    pairs = spoked.where(estimate(F.col("sig"), F.col("hub_sig")) >= least).select(F.col("hub").alias("a"), F.col("cid").alias("b"))
+    hubs = members.groupBy("key").agg(F.min(F.struct("cid", "sig")).alias("hub"))
+    spoked = members.join(hubs, "key").where("cid <> hub.cid")
+    near = spoked.where(estimate(F.col("sig"), F.col("hub.sig")) >= least)
+    pairs = materialize(near.select(F.col("hub.cid").alias("a"), F.col("cid").alias("b")).distinct(), "pairs")
+    wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
+    sets = materialize(_sets(docs, wanted, shingle), "sets")
     links = materialize(_confirmed(pairs, sets, threshold), "links")
-    # A family of two is settled by its one pair.
-    alone = spoked.where("size > 2").select("fam", "cid", "size").join(links.select(F.col("b").alias("cid")), "cid", "left_anti")
-    alone = materialize(alone, "alone")
-    if not alone.limit(1).count():
+    discard(sets)
+    groups = connected_components(links, "a", "b").select(F.col("id").alias("cid"), "component")
+    labelled = members.join(groups, "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
+    labelled = materialize(labelled, "labelled")
+    mains = labelled.groupBy("key").agg(F.min(F.struct("cid", "comp"))["comp"].alias("main"), F.min("comp").alias("c"), F.max("comp").alias("d"))
+    mains = mains.where("c < d").select("key", "main")
+    mixed = materialize(labelled.join(mains, "key").withColumn("apart", F.col("comp") != F.col("main")).drop("main"), "apart")
+    discard(labelled)
+    if not mixed.limit(1).count():
         return links
-    counts = alone.groupBy("fam").agg(
-        F.ceil(F.count("*") / SIDE).cast("int").alias("parts"), F.ceil(F.max("size") / ACROSS).cast("int").alias("across")
-    )
-    rest = placed.select("fam", "cid", "sig").join(counts, "fam").join(sets, "cid")
-    rest = rest.join(alone.select("cid", F.lit(True).alias("a")), "cid", "left").withColumn("alone", F.coalesce("a", F.lit(False)))
-    return links.unionByName(materialize(_rest(rest, threshold), "links"))
+    marked = materialize(_marked(mixed, threshold), "marked")
+    if not marked.limit(1).count():
+        return links
+    sets = materialize(_sets(docs, marked.select("cid").distinct(), shingle), "sets")
+    rest = mixed.join(marked, ["key", "cid"]).join(sets, "cid")
+    more = materialize(_rest(rest, threshold), "links")
+    discard(sets)
+    discard(mixed)
+    return links.unionByName(more)
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
