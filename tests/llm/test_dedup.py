@@ -127,17 +127,31 @@ def test_a_group_without_a_common_centre(spark):
     assert got == {d: v[1] for d, v in brute_near(docs, 3, 85).items()}
 
 
-def test_rest_of_a_family_is_compared_in_blocks(spark):
+def test_rest_of_a_bucket_is_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SIDE", 8)
+    monkeypatch.setattr(near_dedup, "ACROSS", 64)
     r = np.random.default_rng(1)
     sets = [np.unique(r.integers(0, 2**62, 50).astype(np.uint64)) for _ in range(300)]
     sets += [np.unique(np.concatenate((s[:-2], [np.uint64(i)]))) for i, s in enumerate(sets[:40])]
     rows = [
-        (1, i, [int(x) for x in near_dedup.packed(near_dedup.minima(s)).view(np.int64)], s.tobytes(), i >= 280, 3, 2)
+        (1, i, i, i >= 280, [int(x) for x in near_dedup.packed(near_dedup.minima(s)).view(np.int64)], s.tobytes())
         for i, s in enumerate(sets)
     ]
-    members = spark.createDataFrame(rows, "fam bigint, cid bigint, sig array<bigint>, shingles binary, alone boolean, parts int, across int")
-    found = {tuple(x) for x in near_dedup._rest(members, 0.85).collect()}
-    assert found == {(i, i + 300) for i in range(40)}
+    members = spark.createDataFrame(rows, "key bigint, cid bigint, comp bigint, apart boolean, sig array<bigint>, shingles binary")
+    assert {tuple(x) for x in near_dedup._rest(members, 0.85).collect()} == {(i, i + 300) for i in range(40)}
+    marked = {x.cid for x in near_dedup._marked(members.drop("shingles"), 0.85).collect()}
+    assert marked >= {*range(40), *range(300, 340)} and len(marked) < 200
+    # One component has nothing to join.
+    assert near_dedup._marked(members.drop("shingles").withColumn("comp", F.lit(5).cast("bigint")), 0.85).count() == 0
+
+
+def test_documents_of_several_texts(spark):
+    """Rows of one id are one document: it is linked by each of its texts."""
+    a, b, c = prose(1, 80), prose(2, 80), prose(3, 80)
+    docs = [(1, a), (2, a + " more"), (2, b), (3, b + " words"), (4, c), (5, c + " too"), (5, c + " too"), (5, ""), (6, prose(6, 80)), (6, prose(7, 80)), (6, c)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = sorted((x.doc_id, x.n_shingles > 0, x.component_id) for x in near_dedup.near_duplicates(df, 3, 0.85).collect())
+    assert got == [(1, True, 1), (2, True, 1), (2, True, 1), (3, True, 1), (4, True, 4), (5, False, 5), (5, True, 4), (5, True, 4), (6, True, 4), (6, True, 4), (6, True, 4)]
 
 
 def test_estimate_is_corrected_for_chance(spark):
@@ -305,6 +319,7 @@ def brute_vectors(rows: list[tuple], cosine: float) -> dict:
 def test_embeddings(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "PER_PIVOT", 20)
     monkeypatch.setattr(embedding_dedup, "SIDE", 16)
+    monkeypatch.setattr(embedding_dedup, "ACROSS", 24)
     r = np.random.default_rng(6)
     centres = r.normal(size=(30, 16))
     rows = []
@@ -319,3 +334,27 @@ def test_embeddings(spark, monkeypatch):
     assert embedding_dedup.link(df.limit(0)).count() == 0
     null = df.limit(1).withColumn("vec_id", F.lit(None).cast("bigint"))
     assert tuple(embedding_dedup.link(null).first()) == (None, 0, None, False)
+
+
+def test_vectors_of_one_id(spark):
+    """Rows of one id count one by one for others; the id has the most links of its rows, and joins their components."""
+    x, y = [1.0, 0.0], [0.0, 1.0]
+    rows = [(1, x, 0), (2, x, 0), (2, y, 0), (3, y, 0), (4, [1.0, 0.01], 0), (5, x, 1)]
+    got = {tuple(r) for r in embedding_dedup.link(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect()}
+    assert got == {(1, 2, 1, True), (2, 2, 1, False), (3, 1, 1, False), (4, 2, 1, False), (5, 0, 5, True)}
+
+
+def test_far_cells_are_not_visited(spark):
+    """Clustered vectors stay in their cell, and no link is lost where cells meet."""
+    r = np.random.default_rng(3)
+    centres = r.normal(size=(12, 8))
+    rows = [(i, [float(x) for x in centres[i % 12] + r.normal(scale=0.05, size=8)], 1) for i in range(600)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    u = F.transform("embedding", lambda x: x / F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, b: a + b * b)))
+    same = df.select(F.col("vec_id").alias("cid"), "label", F.lit(0).cast("bigint").alias("h"), F.lit(1).cast("bigint").alias("copies"), F.col("embedding").alias("v"), u.alias("u"))
+    embedding_dedup.PER_PIVOT, kept = 50, embedding_dedup.PER_PIVOT
+    try:
+        cells = embedding_dedup._homes(same, 0.2).collect()
+    finally:
+        embedding_dedup.PER_PIVOT = kept
+    assert sum(c.own for c in cells) == 600 and len(cells) < 600 * 6

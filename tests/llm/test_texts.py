@@ -1,10 +1,14 @@
 """Operators that treat each text by itself, and the fingerprints and mix."""
 
 import base64
+import collections
 import hashlib
+import math
 import random
+import time
 import zlib
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -149,7 +153,34 @@ def test_languages_of_held_out_texts(spark, odd_docs, no_docs):
     assert {x.lang_pred for x in lang_id.predict(odd_docs, lang_id.train(no_docs)).collect()} == {"und"}
     assert lang_id.predict(no_docs, model).count() == 0
     kept = lang_id.language_stage(docs.unionByName(spark.createDataFrame([(999, "123", None), (998, None, None)], docs.schema)))
-    assert kept.count() == 300 and kept.columns == docs.columns
+    rows = {x.doc_id: x for x in kept.collect()}
+    assert len(rows) == 300 and kept.columns == docs.columns and all(rows[i].lang == truth[i] for i in truth)
+    assert {x.lang for x in lang_id.language_stage(docs, ("de", "fr")).collect()} == {"de", "fr"}
+    # Without labels nothing is learned: what has a letter stays as it is.
+    blind = lang_id.language_stage(odd_docs.withColumn("lang", F.lit(None).cast("string")))
+    assert blind.count() == odd_docs.where("text rlike '[a-zé]'").count() and blind.where("lang is not null").count() == 0
+    assert lang_id.language_stage(no_docs).count() == 0
+
+
+def test_scores_equal_dense_kernel_ridge_regression():
+    """The unfolded way: kernels of sets one by one, Nystroem features, and the regression's normal equations."""
+    r = random.Random(21)
+    words = {"en": "the of and with that this", "de": "der die und mit nicht für", "fr": "le la et avec dans pour"}
+    texts = [(k, " ".join(r.choice(v.split()) + r.choice(["", "s", "en"]) for _ in range(r.randrange(4, 30)))) for k, v in words.items() for _ in range(25)]
+    spectrum = lang_id.Spectrum()
+    model = lang_id.Model.fit([(k, spectrum.codes(t)) for k, t in sorted(texts)], 6, 0.05)
+    sets = [(k, brute_codes(t)) for k, t in sorted(texts)]
+    kernel = lambda a, b: len(a & b) / math.sqrt(len(a) * len(b))
+    marks = [s for k in sorted(words) for _, s in [x for x in sets if x[0] == k][:6]]
+    inner = np.array([[kernel(a, b) for b in marks] for a in marks])
+    values, vectors = np.linalg.eigh(inner)
+    root = vectors / np.sqrt(values)
+    z = np.array([[kernel(s, m) for m in marks] for _, s in sets]) @ root
+    y = np.array([[float(k == name) for name in sorted(words)] for k, _ in sets])
+    beta = np.linalg.inv(z.T @ z + 0.05 * np.eye(z.shape[1])) @ z.T @ y
+    fresh = [" ".join(r.choice(v.split()) for _ in range(12)) for v in words.values()]
+    want = np.array([[kernel(brute_codes(t), m) for m in marks] for t in fresh]) @ root @ beta
+    assert np.allclose(model.scores([spectrum.codes(t) for t in fresh]), want, atol=2e-3)
 
 
 def test_pages():
@@ -191,6 +222,44 @@ def test_articles_over_sibling_containers_stay_whole(spark):
     assert got[7] == got[8] == "\n".join(x.strip() for x in parts) and got[0] == a.strip()
 
 
+def test_broken_markup_is_read_in_one_pass():
+    took = []
+    for n in (20_000, 80_000):
+        began = time.process_time()
+        for html in ("<a " * n, "<b>" * n + "</i>" * n, "<div>" * n + "x" + "</div>" * n, '<a "x>" ' * n, "<" * n, "<ul><li><ul>" + "<b>" * n + "<dl><li></li></dl>" * n):
+            Page(html).text(None)
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0]
+    deep = Page("<div>" * 5000 + "<p>in the middle" + "</div>" * 4000)
+    assert deep.text(None) == "in the middle" and max(len(path) for _, path, _ in deep.containers) < 40
+    assert Page("a < b <p>c").text(None) == "a < b\nc" and Page("one <a href='x>two</a> <p>three").text(None) == "one two\nthree"
+    assert Page("a </i></div>b<!-- c <p>d").text(None) == "a\nb" and Page("x <a href").text(None) == "x <a href"
+    assert Page('<a title="a > b">t</a>').text(None) == "t" and Page("<![CDATA[ <p> ]]>t<?php x ?><!doctype html>u").text(None) == "tu"
+
+
+def test_votes_that_tie(spark):
+    one, two = "<body><div class=a><p>{}</p></div></body>", "<body><div class=b><p>{}</p></div></body>"
+    rows = [(i, "http://h.example/", (one, two)[i % 2].format(f"article number {i} of this host " * 5)) for i in range(6)]
+    got = [{r.page_id: r.text for r in extract(spark.createDataFrame(x, "page_id bigint, url string, html string")).collect()} for x in (rows, rows[::-1])]
+    assert got[0] == got[1] == {i: (f"article number {i} of this host " * 5).strip() for i in range(6)}
+
+
+def test_generated_pages_give_their_articles(spark):
+    r = random.Random(12)
+    rows, want = [], {}
+    for i in range(120):
+        blocks = [prose(1000 * i + k, r.randrange(8, 60)) for k in range(r.randrange(1, 6))]
+        main = r.choice(["<article>{}</article>", "<main><div class='post-{n}'>{}</div></main>", "<div id=content>{}</div>"])
+        inner = "".join(r.choice(["<p>{}</p>", "<p>{}", "<blockquote>{}</blockquote>", "<h2>{}</h2>"]).format(b.replace("&", "&amp;")) for b in blocks)
+        side = "<div class=sidebar><ul>" + "".join(f"<li><a href=/{k}>{prose(k, 4)}</a>" for k in range(r.randrange(9))) + "</ul></div>"
+        parts = ["<header><h1>Site</h1></header><nav><a href=/>home</a></nav>", side, "<script>if (a < b) { c('</p>') }</script>", main.replace("{n}", str(i)).format(inner)]
+        parts += ["<div class='comments'><p>" + prose(i, 40) + "</div>", "<footer>&copy; all rights</footer>"]
+        rows.append((i, f"https://host{i % 5}.example/{i}", f"<!doctype html><html><body>{''.join(parts)}</body></html>"))
+        want[i] = "\n".join(blocks)
+    got = {x.page_id: x.text for x in extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == want
+
+
 def test_copies_count_once_in_training(spark, monkeypatch):
     # One text copied 4,000 times, with the largest of many hashes, beside another language.
     texts = spark.createDataFrame([(f"ein Text der oft steht {i}",) for i in range(200)], "text string")
@@ -264,6 +333,56 @@ def test_mix_reaches_its_targets(spark, odd_docs, no_docs):
     assert stage.columns == docs.columns and stage.count() == sum(x.copies for x in got)
 
 
+def test_the_stage_emits_what_the_mix_takes(spark, monkeypatch):
+    rows = [(1, "one two three", "a", 7)] * 30 + [(i, " ".join(["w"] * (1 + i % 40)), "bc"[i % 2], i) for i in range(2, 400)] + [(None, None, None, 0)] * 4
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, copies int")
+    for together in (50_000, 4):
+        monkeypatch.setattr(mixing, "TOGETHER", together)
+        want, got = collections.Counter(), collections.Counter()
+        for x in mixing.mix(docs).collect():
+            want[x.doc_id] += x.copies
+        for x in mixing.mixing_stage(docs).collect():
+            got[x.doc_id] += 1
+        assert got == +want and 0 < got[1]
+    assert mixing.mixing_stage(docs.limit(0)).count() == 0
+
+
+def brute_mix(rows):
+    """Places, offsets and copies one document at a time."""
+    sizes = collections.Counter()
+    for _, text, source in rows:
+        sizes[source] += len(text.split())
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: 1 + k % 3 for k, s in enumerate(order)}
+    stopped, total = set(), sum(sizes.values())
+    while True:
+        rest, w = total - sum(3 * sizes[s] for s in stopped), sum(weight[s] for s in sizes if s not in stopped)
+        share = {s: 3.0 * sizes[s] if s in stopped else rest * weight[s] / w for s in sizes}
+        over = {s for s in sizes if share[s] > 3 * sizes[s]}
+        if not over:
+            break
+        stopped |= over
+    out = []
+    for s in sizes:
+        mine = sorted((int(len(t.split()) ** 0.5), d, len(t.split())) for d, t, x in rows if x == s)
+        rate, best = share[s] / sizes[s], []
+        for k in range(mixing.DRAWS):
+            u = int(hashlib.md5(f"mix/{k}/{s if s is not None else chr(0) + 'null'}".encode()).hexdigest()[:8], 16) / 2**32
+            taken = [(math.floor(u + (i + 1) * rate) - math.floor(u + i * rate)) * n for i, (_, _, n) in enumerate(mine)]
+            best.append((abs(sum(taken) - share[s]), k, taken))
+        out += [(d, n, sizes[s], share[s], t) for (_, d, n), t in zip(mine, min(best)[2], strict=True)]
+    return sorted(out)
+
+
+def test_mix_follows_the_definition(spark):
+    r = random.Random(19)
+    for ids in (range(500), [r.getrandbits(62) for _ in range(500)], [10**12 * (i // 250) + i for i in range(500)]):
+        rows = [(d, " ".join(["w"] * int(r.paretovariate(1) * 5)), r.choice(["a"] * 5 + ["b", "ä", None])) for d in ids]
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+        got = mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken").collect()
+        assert sorted(map(tuple, got)) == [(*x[:3], pytest.approx(x[3]), x[4]) for x in brute_mix(rows)]
+
+
 def test_excess_is_shared_again(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 100), ("c", 0), (None, 1000)], "source string, source_size bigint")
     got = {r.source: r.target for r in mixing.targets(sizes).collect()}
