@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and strings that a primed compressor can't shorten.
 
-The patterns give the base spans. Beyond them, every long token that stands in a sensitive context is
-a candidate. A zstandard dictionary is primed with common identifiers and with the code around the
+The patterns give the base spans. Beyond them, every token of some length and variety that stands in a sensitive
+context is a candidate. A zstandard dictionary is primed with common identifiers and with the code around the
 candidate, and the candidate's marginal compressed bytes are measured: ordinary names and words are
 found in the dictionary and cost little, random keys cost almost as many bytes as they carry.
 """
@@ -33,8 +33,10 @@ _CONTEXT = re.compile(
     r"client[_ -]?id|signature|encryption|\bauth\b|\bpwd\b|\bkey\b",
     re.I | re.A,
 )
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-_DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]+")
+_DIGIT = re.compile(r"[0-9]")
+#: Character classes: small letters, digits, and capitals that don't just begin a word.
+_CLASSES = (re.compile(r"[a-z]"), _DIGIT, re.compile(r"[A-Z](?![a-z])"))
 
 #: Identifiers that code is full of; what they spell is not novel.
 IDENTIFIERS = (
@@ -93,7 +95,7 @@ def symbols(token: str) -> int:
 class Novelty:
     """Marginal compressed bytes of candidates against identifiers and the text around them."""
 
-    def __init__(self, around: int = 400, reach: int = 48, least: float = 0.85):
+    def __init__(self, around: int = 400, reach: int = 48, least: float = 0.85, shortest: int = 12, classes: int = 2):
         import zstandard
 
         primed = zstandard.ZstdCompressionDict(IDENTIFIERS, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -103,6 +105,7 @@ class Novelty:
         )
         self.compress = zstandard.ZstdCompressor(dict_data=primed, compression_params=params).compress
         self.around, self.reach, self.least = around, reach, least
+        self.shortest, self.classes = shortest, classes
 
     def marginal(self, context: bytes, candidate: bytes) -> float:
         """Compressed bytes that the candidate adds after the context, for each of its own."""
@@ -126,7 +129,7 @@ class Novelty:
             if not before or start > words[before - 1] + self.reach:
                 continue
             token = m[0]
-            if not (_DIGIT.search(token) and _LETTER.search(token)):
+            if end - start < self.shortest or sum(bool(c.search(token)) for c in _CLASSES) < self.classes:
                 continue
             at = bisect.bisect_left(starts, end) - 1
             if at >= 0 and reached[at] > start:
@@ -145,18 +148,20 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in order)
 
 
-def scan(docs: DataFrame, around: int = 400, reach: int = 48, least: float = 0.85) -> DataFrame:
+def scan(docs: DataFrame, around: int = 400, reach: int = 48, least: float = 0.85, shortest: int = 12, classes: int = 2) -> DataFrame:
     """Secrets of every whole text: ``doc_id, n_assign, n_access, n_hex, n_novel, base_spans, spans``.
 
     Spans are strings ``kind:start:end`` by start, then kind. ``around`` characters on either side
     prime the compressor; a candidate starts at most ``reach`` characters after a sensitive word and
     is reported if it costs ``least`` compressed bytes for each of its own, fewer if its alphabet is
-    smaller. Other copies of a candidate don't count as text around it. A null text counts as empty.
-    Rows stay one to one; extra columns are left out.
+    smaller. It has ``shortest`` characters or more, of ``classes`` of these: small letters, digits, and
+    capitals that don't just begin a word; with 1 and 1 every token is a candidate, and one in seven of the
+    unknown words after a sensitive one is reported. Other copies of a candidate don't count as text around
+    it. A null text counts as empty. Rows stay one to one; extra columns are left out.
     """
 
     def make():
-        novelty = Novelty(around, reach, least)
+        novelty = Novelty(around, reach, least, shortest, classes)
 
         def run(c):
             out = {k: [] for k in ("doc_id", "n_assign", "n_access", "n_hex", "n_novel", "base_spans", "spans")}
