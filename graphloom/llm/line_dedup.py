@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import matching, materialize, only, table
 
-#: Shorter lines are compared for equality alone: one edit is much of a short line.
-LEAST = 16
+#: Characters of the shortest lines that have neighbours; a caller may ask for more.
+LEAST = 1
 #: Characters of one hash block of a variant.
 BLOCK = 64
 
@@ -46,7 +46,7 @@ def _gap_keys(lines: DataFrame, finer: int) -> DataFrame:
     def grid(m: str) -> str:
         # `bin` has one digit for each bit.
         g = f"greatest(1, shiftleft(1, length(bin((n + {m} - 1) div 2)) - 1) div {finer})"
-        return f"named_struct('g', {g}, 't', (((n + {m} - 1) div {g}) - 1) * {g})"
+        return f"named_struct('g', {g}, 't', greatest(0, (((n + {m} - 1) div {g}) - 1) * {g}))"
 
     grids = F.expr(f"explode(array_distinct(array({grid('(-1)')}, {grid('0')}, {grid('1')})))")
     placed = lines.withColumn("grid", grids).withColumn("p", F.expr("explode(sequence(0, int(grid.t div grid.g)))"))
@@ -125,7 +125,8 @@ def decide(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
     A line stays at its earliest place, by doc_id (null first), text hash and line number, unless a
     line whose earliest place is before that is one edit away. Lines are compared without spaces, tabs
-    and carriage returns at their ends; lines under ``least`` characters have no neighbours. Blank lines
+    and carriage returns at their ends; lines under ``least`` characters, none by default, have no
+    neighbours. Blank lines
     stay and aren't counted. ``__kept`` joins what stays as it was written, ``__n`` counts lines and
     ``__gone`` those that go; null texts stay null and have no lines. Repeated rows count as one and get
     equal results.
@@ -181,22 +182,21 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: The same rows by DuckDB: lines within one edit share their first or their last eight characters.
+#: The same rows by DuckDB: of two lines within one edit, the first or the last half of the shorter one is common.
 ORACLE_SQL = r"""
 WITH l AS (
   SELECT doc_id, ln, raw, trim(raw, chr(32) || chr(9) || chr(13)) AS line
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw,
                generate_subscripts(string_split(text, chr(10)), 1) AS ln FROM documents)
 ), u AS (
-  SELECT line, min((doc_id, ln)) AS at, length(line) AS n FROM l WHERE line <> '' GROUP BY line
+  SELECT line, min((doc_id, ln)) AS place, length(line) AS n FROM l WHERE line <> '' GROUP BY line
 ), w AS (
-  SELECT * FROM u WHERE n >= 16
+  SELECT line, place, n, unnest([n - 1, n]) AS least FROM u
+), h AS (
+  SELECT *, 'L' || left(line, least // 2) AS key FROM w UNION ALL SELECT *, 'R' || right(line, least // 2) FROM w
 ), c AS (
-  SELECT a.line, a.n, b.line AS other, b.n AS m FROM w a JOIN w b ON left(a.line, 8) = left(b.line, 8)
-  WHERE a.at > b.at AND abs(a.n - b.n) <= 1
-  UNION
-  SELECT a.line, a.n, b.line, b.n FROM w a JOIN w b ON right(a.line, 8) = right(b.line, 8)
-  WHERE a.at > b.at AND abs(a.n - b.n) <= 1
+  SELECT DISTINCT a.line, a.n, b.line AS other, b.n AS m FROM h a JOIN h b ON a.least = b.least AND a.key = b.key
+  WHERE a.place > b.place AND least(a.n, b.n) = a.least
 ), near AS (
   SELECT DISTINCT line FROM c
   WHERE (n = m AND list_sum(list_transform(range(1, n + 1), lambda i: CAST(line[i] <> other[i] AS INT))) = 1)
@@ -204,7 +204,7 @@ WITH l AS (
      OR (n = m - 1 AND list_contains(list_transform(range(1, m + 1), lambda i: left(other, i - 1) || substr(other, i + 1)), line))
 ), k AS (
   SELECT l.doc_id, l.ln, l.raw, l.line,
-         l.line = '' OR (u.at = (l.doc_id, l.ln) AND l.line NOT IN (SELECT line FROM near)) AS stays
+         l.line = '' OR (u.place = (l.doc_id, l.ln) AND l.line NOT IN (SELECT line FROM near)) AS stays
   FROM l LEFT JOIN u ON l.line = u.line
 )
 SELECT d.doc_id,
