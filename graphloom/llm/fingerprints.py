@@ -17,6 +17,8 @@ SHINGLE = 5
 #: Rows of one block of neighbouring ids, and most blocks whose first rows are broadcast.
 BLOCK_ROWS = 4000
 FEW_BLOCKS = 100_000
+#: Quantiles that one aggregate finds; blocks are quantiles of quantiles, so their number may be its square.
+CUTS = 1000
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -86,22 +88,27 @@ def encoded(a: Column) -> Column:
 def in_blocks(docs: DataFrame) -> DataFrame:
     """Adds ``block``: rows in blocks of neighbouring ids, ascending, of about ``BLOCK_ROWS`` rows.
 
-    Quantiles of the ids cut them roughly, equal widths cut the parts; null ids come before all others.
+    Quantiles of the ids cut them into parts, and the parts' own quantiles into blocks, wherever ids
+    cluster. Null ids come before all others, in blocks by text hash. At most ``CUTS`` ids reach the
+    driver, and the blocks' bounds, at most ``CUTS`` for each of as many parts, are broadcast: 8 MB.
     """
-    n, low, high = docs.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
-    if low is None:
-        return docs.withColumn("block", F.lit(0).cast("bigint"))
-    parts = max(1, min(256, n // BLOCK_ROWS))
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0]
-    bounds = sorted({low, *cuts, high + 1})
-    each = max(1, n // BLOCK_ROWS // parts)
-    edges = F.array(*[F.lit(b).cast("bigint") for b in bounds])
-    # bounds[part - 1] <= doc_id < bounds[part]
-    part = F.size(F.filter(edges, lambda b: b <= F.col("doc_id")))
-    lower, upper = F.element_at(edges, part), F.element_at(edges, part + 1)
-    inner = F.floor((F.col("doc_id") - lower) / ((upper - lower) / F.lit(float(each))))
-    block = (part - 1).cast("bigint") * each + F.least(inner.cast("bigint"), F.lit(each - 1))
-    return docs.withColumn("block", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(block).cast("bigint"))
+    n, some = docs.agg(F.count("*"), F.count("doc_id")).first()
+    most = F.lit(max(1, (n - some) // BLOCK_ROWS))
+    unit = F.col("h").cast("double") / 18446744073709551616.0 + 0.5
+    nulls = F.least(F.floor(unit * most), most - 1).cast("bigint") - most
+    parts = max(1, min(CUTS, some // (BLOCK_ROWS * CUTS)))
+    each = max(1, min(CUTS, some // (BLOCK_ROWS * parts)))
+    cuts = [i / parts for i in range(1, parts)]
+    bounds = sorted(set(docs.agg(F.percentile_approx("doc_id", cuts, 10 * CUTS)).first()[0] or [])) if cuts else []
+    place = lambda edges: F.size(F.filter(edges, lambda b: b <= F.col("doc_id")))
+    part = place(F.array(*[F.lit(b).cast("bigint") for b in bounds])) if bounds else F.lit(0)
+    dealt = docs.withColumn("part", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(part))
+    inner = F.percentile_approx("doc_id", [i / each for i in range(1, each)] or [0.5], 10 * CUTS)
+    edges = dealt.where("part >= 0").groupBy("part").agg(inner.alias("edges") if each > 1 else F.array().cast("array<bigint>").alias("edges"))
+    edges = materialize(edges, "block-edges").withColumnRenamed("part", "of")
+    both = dealt.join(F.broadcast(edges), F.col("part") == F.col("of"), "left")
+    block = F.col("part").cast("bigint") * (CUTS + 1) + place(F.array_distinct("edges"))
+    return both.withColumn("block", F.when(F.col("doc_id").isNull(), nulls).otherwise(block)).drop("part", "of", "edges")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
