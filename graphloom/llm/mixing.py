@@ -3,7 +3,8 @@
 Targets share out all words by source weights, none above a multiple of what its source has. A
 document's expected copies are its source's target over its source's words. They are summed along the
 source's documents, one random offset is added, and a document is taken once for each integer that its
-stretch of the sum crosses. The offset is the best of a few random ones, by the words that it takes.
+stretch of the sum crosses. The offset is the best of some evenly spaced ones from a random one on, by
+the words that it takes.
 
 The running sum needs a document's place among its source's documents, by size class and id. All rows are
 dealt by ranges of that order, so a source is spread over as many parts as its rows need; a part's rows
@@ -19,8 +20,8 @@ from graphloom.llm.common import materialize, only, table
 from graphloom.session import discard
 
 WORDS = r"[^\x20\x09-\x0D]+"
-#: Random offsets of which a source takes the one that comes nearest its target.
-DRAWS = 16
+#: Evenly spaced offsets of which a source takes the one that comes nearest its target.
+DRAWS = 32
 #: Rows with one id and text that are numbered together.
 TOGETHER = 50_000
 #: No document is taken more often, and no target is above this many times its source's words.
@@ -68,7 +69,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
 
 def place(docs: DataFrame) -> DataFrame:
     """Adds ``place``, from 0, along ``source`` by (size class, doc_id, text hash); repeated rows take any order."""
-    kind = F.floor(F.sqrt(F.col("size").cast("double"))).cast("bigint")
+    kind = F.length(F.bin("size"))
     order = ("source", "kind", "doc_id", "h")
     # The ranges come from a sample, so the part that a row falls in is written down.
     dealt = docs.withColumn("kind", kind).repartitionByRange(*order).withColumn("part", F.spark_partition_id())
@@ -82,12 +83,18 @@ def place(docs: DataFrame) -> DataFrame:
     return joined.withColumn("place", F.col("start") + F.col("i")).drop("s", "b", "start", "i", "kind", "part")
 
 
-def offset(source: Column, draw: int = 0, seed: str = SEED) -> Column:
-    """A number in [0, 1) that depends on the seed, the draw and the source alone."""
-    text = F.concat(F.lit(f"{seed}/{draw}/"), F.coalesce(source, F.lit("\x00null")))
+def offset(source: Column, seed: str = SEED) -> Column:
+    """A number in [0, 1) that depends on the seed and the source alone."""
+    text = F.concat(F.lit(seed + "/"), F.coalesce(source, F.lit("\x00null")))
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
 
 
+def _shifted(draw: int, draws: int) -> Column:
+    """The offset ``first``, moved on by a share of the interval and around its end."""
+    u = F.col("first") + draw / draws
+    return u - F.floor(u)
+
+
 def _crossed(u: Column) -> Column:
     """Integers in a document's stretch of the running sum."""
     upto = lambda i: F.floor(u + i * F.col("rate"))
@@ -98,8 +105,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST,
     """``doc_id, source, h, size, source_size, target, copies, taken`` for every row.
 
     ``size`` counts the text's words, 0 for a null text, ``h`` is the text's hash. ``taken`` is copies
-    times size. Of ``draws`` random offsets a source takes the one with which its taken words come nearest
-    its target, the first of equals. Sources whose documents have no words have target 0. Null sources are
+    times size. Of ``draws`` evenly spaced offsets, the first of them random, a source takes the one with
+    which its taken words come nearest its target, the first of equals. Sources whose documents have no words have target 0. Null sources are
     one source; null ids come first within their size class. Equal inputs give equal results; repeated
     rows count one by one. Extra columns are left out.
     """
@@ -113,12 +120,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST,
     sums = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
     goals = targets(sums, weights, most)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    goals = materialize(goals.withColumn("rate", rate).withColumnRenamed("source", "s"), "mix-goals")
+    goals = goals.withColumns({"rate": rate, "first": offset(F.col("source"), seed)}).withColumnRenamed("source", "s")
+    goals = materialize(goals, "mix-goals")
     placed = materialize(place(slim).join(goals, F.col("source").eqNullSafe(F.col("s"))).drop("s"), "mix-placed")
     discard(slim)
-    taken = [F.sum(_crossed(offset(F.col("source"), k, seed)) * F.col("size")).alias(f"t{k}") for k in range(draws)]
-    tried = placed.groupBy("source", "target").agg(*taken)
-    misses = F.array(*[F.struct(F.abs(F.col(f"t{k}") - F.col("target")), F.lit(k), offset(F.col("source"), k, seed).alias("u")) for k in range(draws)])
+    taken = [F.sum(_crossed(_shifted(k, draws)) * F.col("size")).alias(f"t{k}") for k in range(draws)]
+    tried = placed.groupBy("source", "target", "first").agg(*taken)
+    misses = F.array(*[F.struct(F.abs(F.col(f"t{k}") - F.col("target")), F.lit(k), _shifted(k, draws).alias("u")) for k in range(draws)])
     chosen = tried.select(F.col("source").alias("s"), F.array_min(misses)["u"].alias("u"))
     copies = _crossed(F.col("u"))
     return placed.join(chosen, F.col("source").eqNullSafe(F.col("s"))).select(
@@ -160,12 +168,12 @@ WITH d AS (
 ), p AS (
   SELECT d.doc_id, d.source, d.size, g.source_size, g.target,
          CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0.0 END AS rate,
-         row_number() OVER (PARTITION BY d.source ORDER BY floor(sqrt(CAST(d.size AS DOUBLE))), d.doc_id) - 1 AS i
+         row_number() OVER (PARTITION BY d.source ORDER BY length(bin(d.size)), d.doc_id) - 1 AS i
   FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source
+), o0 AS (
+  SELECT source, CAST('0x' || substr(md5('mix/' || coalesce(source, chr(0) || 'null')), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS first FROM s
 ), u AS (
-  SELECT s.source, r.k,
-         CAST('0x' || substr(md5('mix/' || r.k || '/' || coalesce(s.source, chr(0) || 'null')), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u
-  FROM s, range(16) AS r(k)
+  SELECT source, k, first + k / 32.0::DOUBLE - floor(first + k / 32.0::DOUBLE) AS u FROM o0, range(32) AS r(k)
 ), x AS (
   SELECT p.source, u.u, row_number() OVER (
            PARTITION BY p.source
