@@ -68,6 +68,15 @@ def test_lines_within_one_edit(spark):
     assert got == brute_lines(docs)
 
 
+def test_short_lines_within_one_edit(spark):
+    r = random.Random(14)
+    docs = [(d, "\n".join("".join(r.choice("abcé") for _ in range(r.randrange(7))) for _ in range(r.randrange(4)))) for d in range(60)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    for least in (1, 4):
+        got = {x.doc_id: (x.n_lines, x.n_removed, x.kept) for x in line_dedup.dedup(df, least).collect()}
+        assert got == brute_lines(docs, least)
+
+
 def test_lines_of_odd_tables(odd_docs, no_docs):
     got = line_dedup.dedup(odd_docs)
     rows = {x.doc_id: x for x in got.where("doc_id is not null").collect()}

@@ -106,6 +106,66 @@ def test_novelty_of_repeated_keys_and_small_alphabets():
     assert (secrets.symbols("abc123"), secrets.symbols("xyz123"), secrets.symbols("gZ1_-"), secrets.symbols("12ABCDEF")) == (16, 36, 64, 16)
 
 
+def test_novelty_finds_random_keys_and_leaves_words():
+    """Recall by alphabet and length, and false alarms among the words of code and prose."""
+    n, r = secrets.Novelty(), random.Random(8)
+    low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    around = "The service reads its private key {} from the settings of the host, and then it goes on."
+    for alphabet in (low + up + digits, low + digits, up + digits, digits + "ABCDEF", low + up, low + up + digits + "_-"):
+        for size in (12, 16, 20, 24, 32, 40, 64):
+            keys = ["".join(r.choice(alphabet) for _ in range(size)) for _ in range(40)]
+            assert sum(len(n.spans(around.format(k), [])) for k in keys) >= 36, (alphabet, size)
+    words = prose(3, 400).split() + ["configuration_default_value_1", "OrderedDictionary", "internationalization", "requestHandlerOptions", "database-connection-2"]
+    assert sum(len(n.spans(around.format(w), [])) for w in words if len(w) >= 6) <= 4
+
+
+def brute_base(text):
+    """Base spans by hand, one place after the other."""
+    word = lambda c: c.isascii() and (c.isalnum() or c in "+/_.=-")
+    out = []
+    for kind in ("assign", "access", "hex"):
+        i = 0
+        while i < len(text):
+            end = start = None
+            if kind == "assign":
+                for name in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+                    if text[i : i + len(name)].isascii() and text[i : i + len(name)].lower() == name:
+                        j = i + len(name)
+                        j += text[j : j + 1] in ("'", '"')
+                        j += len(text[j:]) - len(text[j:].lstrip(" "))
+                        if text[j : j + 1] in (":", "="):
+                            j += 1
+                            j += len(text[j:]) - len(text[j:].lstrip(" "))
+                            j += text[j : j + 1] in ("'", '"')
+                            k = j
+                            while k < len(text) and word(text[k]):
+                                k += 1
+                            if k > j:
+                                start, end, long = i, k, k - j >= 6
+                        break
+            else:
+                head, ok = ("AKIA", lambda c: c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") if kind == "access" else ("", lambda c: c in "0123456789abcdef")
+                k = i + len(head)
+                while k < len(text) and ok(text[k]):
+                    k += 1
+                if text.startswith(head, i) and k > i + len(head):
+                    start, end, long = i, k, k - i >= (20 if kind == "access" else 24)
+            if end is None:
+                i += 1
+            else:
+                out += [(start, end, kind)] * long
+                i = end
+    return sorted(out)
+
+
+def test_base_spans_by_hand():
+    r = random.Random(31)
+    parts = ["password", "PASSWD", "Secret", "token", "api_key", "ApiKey", "api key", "AKIA", "ABCDEFGHIJKLMNOP", "0123456789abcdef", "deadbeef", "=", ":", " ", "  ", "'", '"', "x.y/z+", "é", "ſecret", "\n", "Zz9", "K"]
+    for _ in range(3000):
+        text = "".join(r.choice(parts) for _ in range(r.randrange(14)))
+        assert sorted(secrets.base_spans(text)) == brute_base(text), text
+
+
 def test_secret_table(odd_docs, no_docs):
     rows = {r.doc_id: r for r in secrets.scan(odd_docs).where("doc_id is not null").collect()}
     assert (rows[16].n_assign, rows[16].n_access, rows[16].n_hex) == (1, 1, 1) and rows[1].spans == "" and rows[11].n_hex == 0
@@ -299,6 +359,21 @@ def test_fingerprints_follow_the_definition(spark, odd_docs, no_docs):
     assert one.near_next == 1.0
 
 
+def test_blocks_of_any_ids(spark, monkeypatch):
+    """Hashed, clustered, sparse and missing ids: blocks follow the order, and none holds many rows."""
+    monkeypatch.setattr(fingerprints, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(fingerprints, "CUTS", 12)
+    r = random.Random(4)
+    tables = [[r.getrandbits(63) - 2**62 for _ in range(2000)], [10**15 * (i % 3) + i for i in range(2000)], [None] * 700 + [2**i for i in range(60)] * 5, [None], []]
+    for ids in tables:
+        docs = spark.createDataFrame([(d, r.getrandbits(63) * r.choice([1, -1])) for d in ids], "doc_id bigint, h bigint")
+        rows = fingerprints.in_blocks(docs).collect()
+        assert len(rows) == len(ids) and docs.columns == ["doc_id", "h"]
+        order = sorted(rows, key=lambda x: (x.doc_id is not None, x.doc_id or 0, x.h if x.doc_id is None else 0))
+        assert [x.block for x in order] == sorted(x.block for x in rows)
+        assert max(collections.Counter(x.block for x in rows).values(), default=0) <= 260
+
+
 def test_sketches_merge_and_estimate(spark):
     parts = spark.createDataFrame([(1, prose(1, 900)), (1, prose(2, 700)), (2, prose(1, 900))], "g int, text string")
     sk = parts.withColumn("sketch", fingerprints.sketch(F.col("text")))
@@ -364,10 +439,11 @@ def brute_mix(rows):
         stopped |= over
     out = []
     for s in sizes:
-        mine = sorted((int(len(t.split()) ** 0.5), d, len(t.split())) for d, t, x in rows if x == s)
+        mine = sorted((max(1, len(t.split()).bit_length()), d, len(t.split())) for d, t, x in rows if x == s)
         rate, best = share[s] / sizes[s], []
         for k in range(mixing.DRAWS):
-            u = int(hashlib.md5(f"mix/{k}/{s if s is not None else chr(0) + 'null'}".encode()).hexdigest()[:8], 16) / 2**32
+            u = int(hashlib.md5(f"mix/{s if s is not None else chr(0) + 'null'}".encode()).hexdigest()[:8], 16) / 2**32 + k / mixing.DRAWS
+            u -= math.floor(u)
             taken = [(math.floor(u + (i + 1) * rate) - math.floor(u + i * rate)) * n for i, (_, _, n) in enumerate(mine)]
             best.append((abs(sum(taken) - share[s]), k, taken))
         out += [(d, n, sizes[s], share[s], t) for (_, d, n), t in zip(mine, min(best)[2], strict=True)]
