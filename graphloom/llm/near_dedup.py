@@ -14,6 +14,8 @@ components is missed, and only links leave a task.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -31,6 +33,8 @@ ROWS = 4
 BITS = 4
 #: Members of one block on the side of those apart, and on the side of the whole bucket.
 SIDE, ACROSS = 256, 1024
+#: Members of blocks that one task compares, by their signatures and by their sets.
+SIGNED, FULL = 20_000, 500
 #: Documents that are compared with a copy of their hub's set in one task.
 SPOKES = 512
 
@@ -200,9 +204,10 @@ def reaches(x: np.ndarray, y: np.ndarray, hundredths: int) -> bool:
     return 100 * shared >= hundredths * (n + m - shared)
 
 
-def _blocks(members: DataFrame, *columns: str) -> DataFrame:
-    """``key, i, j, side, cid, comp`` and columns: members ``apart`` from their bucket's hub, cut into parts
-    (side 0), beside all members of the bucket (side 1), cut as well; each two parts are a group."""
+def _blocks(members: DataFrame, together: int, *columns: str) -> DataFrame:
+    """``deal, key, i, j, side, cid, comp`` and columns: members ``apart`` from their bucket's hub, cut into
+    parts (side 0), beside all members of the bucket (side 1), cut as well. Each two parts are a block, and
+    blocks of about ``together`` members have one ``deal``."""
     counts = members.groupBy("key").agg(
         F.ceil(F.count_if("apart") / SIDE).cast("int").alias("parts"), F.ceil(F.count("*") / ACROSS).cast("int").alias("across")
     )
@@ -212,57 +217,69 @@ def _blocks(members: DataFrame, *columns: str) -> DataFrame:
     kept = ("key", "i", "j", "side", "cid", "comp", *columns)
     one = cut.where("apart").withColumns({"i": left, "side": F.lit(0)}).withColumn("j", F.explode(F.expr("sequence(0, across - 1)")))
     two = cut.withColumns({"j": right, "side": F.lit(1)}).withColumn("i", F.explode(F.expr("sequence(0, parts - 1)")))
-    return one.select(*kept).unionByName(two.select(*kept))
+    deals = max(1, members.count() // together)
+    return one.select(*kept).unionByName(two.select(*kept)).withColumn("deal", F.pmod(F.xxhash64("key", "i", "j"), F.lit(deals)))
 
 
-def _signed(members: pd.DataFrame) -> np.ndarray:
-    return np.array(members["sig"].to_list(), np.int64).view(np.uint64)
+def _pieces(pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each block the rows of either side."""
+    places = [pdf[k].to_numpy() for k in ("side", "j", "i", "key")]
+    order = np.lexsort(places)
+    side, *block = (x[order] for x in places)
+    cuts = np.flatnonzero(np.any([x[1:] != x[:-1] for x in block], axis=0)) + 1
+    for rows, sides in zip(np.split(order, cuts), np.split(side, cuts), strict=True):
+        n = len(sides) - np.count_nonzero(sides)
+        if 0 < n < len(sides):
+            yield rows[:n], rows[n:]
 
 
-def _alike(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
-    """Which of the packed signatures ``y`` may be as similar to ``x``."""
-    d = y ^ x
-    d |= d >> np.uint64(1)
-    d |= d >> np.uint64(2)
-    differ = np.bitwise_count(d & np.uint64(0x1111111111111111)).sum(axis=1) / MINIMA
-    chance = 1 / 2**BITS
-    return (1 - differ - chance) / (1 - chance) >= least
+def _alike(x: np.ndarray, y: np.ndarray, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """For parts of the packed signatures ``x``, from where they start, which of ``y`` may be as similar to each."""
+    step, chance = max(1, 65_536 // len(y)), 1 / 2**BITS
+    for i in range(0, len(x), step):
+        d = x[i : i + step, None, :] ^ y[None, :, :]
+        d |= d >> np.uint64(1)
+        d |= d >> np.uint64(2)
+        differ = np.bitwise_count(d & np.uint64(0x1111111111111111)).sum(axis=2) / MINIMA
+        yield i, (1 - differ - chance) / (1 - chance) >= least
+
+
+def _signed(members: pd.DataFrame) -> np.ndarray:
+    return np.array(members["sig"].to_list(), np.int64).view(np.uint64)
 
 
 def _marked(members: DataFrame, threshold: float) -> DataFrame:
-    """``key, cid`` of members that may be linked with one of another component in their bucket."""
+    """``key, cid`` of members that may be linked with one of another component in their bucket.
+
+    Two members of several buckets, each of whose ``keys`` are given, are marked in the smallest one alone.
+    """
     least = lowest_estimate(threshold)
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        if not len(left) or not len(right):
-            return pd.DataFrame()
-        x, y, mine, other = _signed(left), _signed(right), left["comp"].to_numpy(), right["comp"].to_numpy()
-        one, two = np.zeros(len(x), bool), np.zeros(len(y), bool)
-        for r in range(len(x)):
-            hit = _alike(x[r], y, least) & (other != mine[r])
-            one[r] = hit.any()
-            two |= hit
-        ids = np.concatenate((left["cid"].to_numpy()[one], right["cid"].to_numpy()[two]))
-        return pd.DataFrame({"key": np.full(len(ids), pdf["key"].iloc[0]), "cid": ids})
+        sig, comp, key, marks = _signed(pdf), pdf["comp"].to_numpy(), pdf["key"].to_numpy(), np.zeros(len(pdf), bool)
+        keys = [frozenset(x.tolist()) for x in pdf["keys"]]
+        for left, right in _pieces(pdf):
+            for i, hit in _alike(sig[left], sig[right], least):
+                hit &= comp[left[i : i + len(hit)]][:, None] != comp[right]
+                for r, k in zip(*(x.tolist() for x in np.nonzero(hit)), strict=True):
+                    x, y = left[i + r], right[k]
+                    if not (marks[x] and marks[y]) and min(keys[x] & keys[y]) == key[x]:
+                        marks[x] = marks[y] = True
+        return pdf.loc[marks, ["key", "cid"]]
 
-    return _blocks(members, "sig").groupBy("key", "i", "j").applyInPandas(compare, "key bigint, cid bigint").distinct()
+    return _blocks(members, SIGNED, "sig", "keys").groupBy("deal").applyInPandas(compare, "key bigint, cid bigint").distinct()
 
 
 def _rest(members: DataFrame, threshold: float) -> DataFrame:
     """``a, b``: confirmed links of ``key, cid, comp, apart, sig, shingles`` that join components.
 
-    Each block gives a link for each two of its components that it joins.
+    Each task gives a link for each two components that it joins.
     """
     hundredths, least = round(threshold * 100), lowest_estimate(threshold)
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        if not len(left) or not len(right):
-            return pd.DataFrame()
-        x, y = _signed(left), _signed(right)
-        ix, iy, cx, cy = (p[k].to_list() for k in ("cid", "comp") for p in (left, right))
-        sx, sy = ([np.frombuffer(b, np.uint64) for b in p["shingles"]] for p in (left, right))
+        sig, comp, cid = _signed(pdf), pdf["comp"].to_list(), pdf["cid"].to_list()
+        sets = [np.frombuffer(b, np.uint64) for b in pdf["shingles"]]
         parent: dict[int, int] = {}
 
         def top(v: int) -> int:
@@ -272,15 +289,17 @@ def _rest(members: DataFrame, threshold: float) -> DataFrame:
             return v
 
         out = []
-        for r in range(len(x)):
-            for k in np.flatnonzero(_alike(x[r], y, least)).tolist():
-                p, q = top(cx[r]), top(cy[k])
-                if p != q and reaches(sx[r], sy[k], hundredths):
-                    parent[max(p, q)] = min(p, q)
-                    out.append((min(ix[r], iy[k]), max(ix[r], iy[k])))
+        for left, right in _pieces(pdf):
+            for i, hit in _alike(sig[left], sig[right], least):
+                for r, k in zip(*(x.tolist() for x in np.nonzero(hit)), strict=True):
+                    x, y = left[i + r], right[k]
+                    p, q = top(comp[x]), top(comp[y])
+                    if p != q and reaches(sets[x], sets[y], hundredths):
+                        parent[max(p, q)] = min(p, q)
+                        out.append((min(cid[x], cid[y]), max(cid[x], cid[y])))
         return pd.DataFrame(out, columns=["a", "b"]) if out else pd.DataFrame()
 
-    return _blocks(members, "sig", "shingles").groupBy("key", "i", "j").applyInPandas(compare, "a bigint, b bigint")
+    return _blocks(members, FULL, "sig", "shingles").groupBy("deal").applyInPandas(compare, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -356,13 +375,15 @@ def _links(docs: DataFrame, members: DataFrame, shingle: int, threshold: float)
     discard(labelled)
     if not mixed.limit(1).count():
         return links
-    marked = materialize(_marked(mixed, threshold), "marked")
+    keys = mixed.groupBy("cid").agg(F.collect_set("key").alias("keys"))
+    marked = materialize(_marked(mixed.join(keys, "cid"), threshold), "marked")
     if not marked.limit(1).count():
         return links
     sets = materialize(_sets(docs, marked.select("cid").distinct(), shingle), "sets")
-    rest = mixed.join(marked, ["key", "cid"]).join(sets, "cid")
-    more = materialize(_rest(rest, threshold), "links")
+    rest = materialize(mixed.join(marked, ["key", "cid"]).join(sets, "cid"), "rest")
     discard(sets)
+    more = materialize(_rest(rest, threshold), "links")
+    discard(rest)
     discard(mixed)
     return links.unionByName(more)
 
