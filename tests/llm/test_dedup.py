@@ -148,7 +148,13 @@ def test_rest_of_a_bucket_is_compared_in_blocks(spark, monkeypatch):
     ]
     members = spark.createDataFrame(rows, "key bigint, cid bigint, comp bigint, apart boolean, sig array<bigint>, shingles binary")
     assert {tuple(x) for x in near_dedup._rest(members, 0.85).collect()} == {(i, i + 300) for i in range(40)}
-    marked = {x.cid for x in near_dedup._marked(members.drop("shingles"), 0.85).collect()}
+    monkeypatch.setattr(near_dedup, "SIGNED", 50)
+    monkeypatch.setattr(near_dedup, "FULL", 50)
+    members = members.unionByName(members.withColumn("key", F.lit(2).cast("bigint"))).withColumn("keys", F.array(F.lit(1).cast("bigint"), F.lit(2).cast("bigint")))
+    assert {tuple(x) for x in near_dedup._rest(members, 0.85).collect()} == {(i, i + 300) for i in range(40)}
+    found = near_dedup._marked(members.drop("shingles"), 0.85).collect()
+    assert {x.key for x in found} == {1}
+    marked = {x.cid for x in found}
     assert marked >= {*range(40), *range(300, 340)} and len(marked) < 200
     # One component has nothing to join.
     assert near_dedup._marked(members.drop("shingles").withColumn("comp", F.lit(5).cast("bigint")), 0.85).count() == 0
