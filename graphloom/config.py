@@ -5,7 +5,10 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass, fields
 
-ENGINES = ("openai", "rebel")
+from pyspark.sql import DataFrame, SparkSession
+
+#: The engines of models, and the offline one that tests and examples use.
+ENGINES = ("openai", "rebel", "rules")
 #: Bounds and steps that the interactive surface offers: (least, most, step).
 CHUNK_SIZE_BOUNDS = (200, 2000, 100)
 CHUNK_OVERLAP_BOUNDS = (0, 300, 25)
@@ -74,5 +77,11 @@ def run_problems(chunk_size: int, chunk_overlap: int, threshold: float) -> list[
 
 
 def engines(settings: Settings) -> dict[str, bool]:
-    """Engines and whether they can run."""
+    """The models' engines and whether they can run."""
     return {"openai": bool(settings.openai_api_key), "rebel": True}
+
+
+def engine_rows(spark: SparkSession, settings: Settings) -> DataFrame:
+    """``engine, available, selected``."""
+    rows = [(name, can, name == settings.extraction_engine) for name, can in engines(settings).items()]
+    return spark.createDataFrame(rows, "engine string, available boolean, selected boolean")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import percent
@@ -29,6 +29,13 @@ def type_histogram(df: DataFrame, column: str, missing: str) -> DataFrame:
     return df.groupBy(F.coalesce(column, F.lit(missing)).alias("type")).agg(F.count("*").alias("count"))
 
 
+def distinct_types(nodes: DataFrame, missing: str = "Unknown") -> DataFrame:
+    """``ord, type``: the types that occur, by name."""
+    kinds = nodes.select(F.coalesce("type", F.lit(missing)).alias("type")).distinct()
+    # One row for each type.
+    return kinds.select((F.row_number().over(Window.orderBy("type")) - 1).cast("bigint").alias("ord"), "type")
+
+
 def _as_map(histogram: DataFrame, name: str) -> DataFrame:
     entries = F.sort_array(F.collect_list(F.struct("type", "count")))
     return histogram.agg(F.map_from_entries(entries).alias(name))
@@ -57,10 +64,12 @@ def _beside(*frames: DataFrame) -> DataFrame:
 
 def graph_scalars(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``num_nodes, num_edges, density, avg_degree, isolated_nodes`` of the multigraph, unrounded."""
+    # Each edge is one end's out-degree, and an edge's ends are nodes: one table of degrees has all the figures.
+    ends = degrees(edges)
+    found = nodes.select("id").join(ends, "id", "left")
     counts = _beside(
-        nodes.agg(F.count("*").alias("num_nodes")),
+        found.agg(F.count("*").alias("num_nodes"), F.count_if(F.col("out_degree").isNull()).alias("isolated_nodes")),
         edges.agg(F.count("*").alias("num_edges")),
-        isolated_nodes(nodes, edges).agg(F.count("*").alias("isolated_nodes")),
     )
     n, e = F.col("num_nodes"), F.col("num_edges")
     return counts.select("num_nodes", "num_edges", density(n, e).alias("density"), average_degree(n, e).alias("avg_degree"), "isolated_nodes")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.session import materialize
+from graphloom.session import discard, materialize
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -26,18 +26,23 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         while True:
             up = roots.select(F.col("a").alias("p"), F.col("p").alias("pp"))
             jumped = materialize(roots.join(up, "p").select("a", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved")), "cc-roots")
+            discard(roots)
             roots = jumped.select("a", "p")
             if not jumped.where("moved").limit(1).count():
                 break
+        left = both.join(roots.select("a", F.col("p").alias("pa")), "a")
+        left = left.join(roots.select(F.col("a").alias("b"), F.col("p").alias("pb")), "b").where("pa <> pb")
+        shrunk = materialize(left.select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct(), "cc-edges")
+        discard(both)
+        both = shrunk
         if found is None:
             found = roots
         else:
             # Only roots of earlier rounds that still have edges move on.
             moves = roots.select(F.col("a").alias("p"), F.col("p").alias("q"))
-            found = found.join(moves, "p", "left").select("a", F.coalesce("q", "p").alias("p"))
-            found = materialize(found, "cc-found")
-        left = both.join(roots.select("a", F.col("p").alias("pa")), "a")
-        left = left.join(roots.select(F.col("a").alias("b"), F.col("p").alias("pb")), "b").where("pa <> pb")
-        both = materialize(left.select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct(), "cc-edges")
+            moved = materialize(found.join(moves, "p", "left").select("a", F.coalesce("q", "p").alias("p")), "cc-found")
+            discard(found)
+            discard(roots)
+            found = moved
         if not both.limit(1).count():
             return found.select(F.col("a").alias("id"), F.col("p").alias("component"))

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.config import Settings
 from graphloom.functions.text import PROMPT_HEAD, PROMPT_TAIL, chunk_scoped_id, shorten_to_sentence, strip
 from graphloom.operators.triplets import triplet_entities, triplet_relations
 from graphloom.session import materialize
@@ -187,24 +188,45 @@ def from_generated(chunks: DataFrame, called: DataFrame) -> Extraction:
     return Extraction(entities, relations, called.where("error is not null").select(*key, "error"), chunks)
 
 
-def replay(recorded: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """An engine that looks payloads up by text: ``recorded`` has ``text, payload``."""
+class Replay:
+    """An engine that looks payloads up by text: ``recorded`` has ``text, payload``. No Python runs for it."""
 
-    def call(chunks: DataFrame) -> DataFrame:
-        known = recorded.select(F.sha2("text", 256).alias("k"), "payload").dropDuplicates(["k"])
+    def __init__(self, recorded: DataFrame):
+        self.recorded = recorded
+
+    def call(self, chunks: DataFrame, out: str = "payload") -> DataFrame:
+        known = self.recorded.select(F.sha2("text", 256).alias("k"), F.col("payload").alias(out)).dropDuplicates(["k"])
         full = chunks.where(F.col("text").isNotNull() & (strip(F.col("text")) != "")).withColumn("k", F.sha2("text", 256))
-        error = F.when(F.col("payload").isNull(), "nothing recorded")
-        return full.join(known, "k", "left").select("doc_id", "chunk_id", "payload", error.alias("error"))
+        error = F.when(F.col(out).isNull(), "nothing recorded")
+        return full.join(known, "k", "left").select("doc_id", "chunk_id", out, error.alias("error"))
+
+
+def extract(chunks: DataFrame, engine: Engine | Replay, generates: bool = False) -> Extraction:
+    """Run an engine once over all chunks; its answers are written before anything reads them twice.
+
+    An engine that ``generates`` sees each chunk's collapsed text, cut after a sentence.
+    """
+    out = "generated_text" if generates else "payload"
+    seen = chunks.withColumn("text", shorten_to_sentence(F.col("text"), MODEL_INPUT)) if generates else chunks
+    called = engine.call(seen, out) if isinstance(engine, Replay) else call_engine(seen, engine, out)
+    called = materialize(called, "answers")
+    return from_generated(chunks, called) if generates else from_payloads(chunks, called)
+
 
-    return call
+#: Engines by name: how to make one of the settings, and whether it generates text.
+ENGINES: dict[str, tuple[Callable[[Settings], Engine], bool]] = {
+    "openai": (lambda s: openai_engine(s.openai_api_key, s.extraction_model), False),
+    "rebel": (lambda s: rebel_engine(), True),
+    "rules": (lambda s: rule_based, False),
+}
 
 
-def extract(chunks: DataFrame, engine: Engine, generates: bool = False) -> Extraction:
-    """Run an engine once over all chunks; its answers are written before anything reads them twice."""
-    if generates:
-        short = chunks.withColumn("text", shorten_to_sentence(F.col("text"), MODEL_INPUT))
-        return from_generated(chunks, materialize(call_engine(short, engine, "generated_text"), "generated"))
-    return from_payloads(chunks, materialize(call_engine(chunks, engine), "payloads"))
+def engine_for(settings: Settings) -> tuple[Engine, bool]:
+    """The engine that the settings name, and whether it generates text; an unknown name raises ValueError."""
+    if settings.extraction_engine not in ENGINES:
+        raise ValueError(f"extraction_engine must be one of {', '.join(ENGINES)}")
+    make, generates = ENGINES[settings.extraction_engine]
+    return make(settings), generates
 
 
 def violations(entities: DataFrame, relations: DataFrame, endpoints: bool = True, *key: str) -> DataFrame:

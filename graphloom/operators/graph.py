@@ -21,7 +21,7 @@ def edges_of(entities: DataFrame, relations: DataFrame) -> DataFrame:
 
     The relation's type is the edge's label unless the relation has a label of its own.
     """
-    ids = entities.select("id").distinct()
+    ids = entities.select("id")
     kept = relations.where("source <> target")
     for end in ("source", "target"):
         kept = kept.join(ids.withColumnRenamed("id", end), end, "left_semi")
@@ -51,7 +51,7 @@ def all_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def between(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges both ends of which are among the nodes."""
-    ids = nodes.select("id").distinct()
+    ids = nodes.select("id")
     for end in ("source", "target"):
         edges = edges.join(ids.withColumnRenamed("id", end), end, "left_semi")
     return edges
@@ -86,7 +86,7 @@ def violations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def dangling(nodes: DataFrame, relations: DataFrame) -> DataFrame:
     """Relations with an end that no node has."""
-    source, target = (nodes.select(F.col("id").alias(end)).distinct() for end in ("source", "target"))
+    source, target = (nodes.select(F.col("id").alias(end)) for end in ("source", "target"))
     no_source = relations.join(source, "source", "left_anti")
     no_target = relations.join(source, "source", "left_semi").join(target, "target", "left_anti")
     return no_source.select(*relations.columns).unionByName(no_target.select(*relations.columns))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.config import Settings, engine_rows
 from graphloom.functions import text as fn
 from graphloom.operators import analytics, chunking, dedup, extraction, graph, search, similarity, triplets
 from graphloom.operators.components import connected_components
@@ -89,7 +90,23 @@ def chunk_sentences(spark, sf_dir):
     return _longs(chunking.sentence_chunks(table(spark, sf_dir, "documents"), 5), "chunk_id")
 
 
-@query()
+@query(
+    rf"""
+WITH RECURSIVE b AS MATERIALIZED (SELECT doc_id, trim(text, {_SPACES}) AS t, length(trim(text, {_SPACES})) AS n FROM documents),
+r(doc_id, start, stop, last) AS (
+  SELECT doc_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), n = 0 FROM b
+  UNION ALL
+  SELECT doc_id, s, CASE WHEN last THEN n WHEN cut > 0 THEN s + {SIZE - SIZE // 5} + cut ELSE s + {SIZE} END, last
+  FROM (SELECT doc_id, s, n, s + {SIZE} >= n AS last,
+               length(regexp_extract(substr(t, s + {SIZE - SIZE // 5} + 1, {SIZE // 5 + 50}), '(?s)^.*[.!?][\s\x0B\x1C-\x1F]+')) AS cut
+        FROM (SELECT r.doc_id, b.t, b.n, CASE WHEN r.stop = 0 THEN 0 ELSE r.stop - {OVERLAP} END AS s FROM r JOIN b ON r.doc_id = b.doc_id WHERE NOT r.last))
+), w AS (
+  SELECT doc_id, start AS start_char, stop AS end_char, trim(substr(t, start + 1, stop - start), {_SPACES}) AS text
+  FROM r JOIN b USING (doc_id) WHERE stop > 0
+)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start_char) - 1 AS chunk_id, start_char, end_char, text FROM w WHERE text <> ''
+"""
+)
 def chunk_smart(spark, sf_dir):
     return _longs(chunking.smart_chunks(table(spark, sf_dir, "documents"), SIZE, OVERLAP), "chunk_id", "start_char", "end_char")
 
@@ -109,9 +126,25 @@ def chunk_stats(spark, sf_dir):
     return chunking.chunk_statistics(chunks.join(role, ["doc_id", "page_number"]), "role")
 
 
-@query(f"SELECT doc_id, CAST(chunk_id AS BIGINT) AS chunk_id, 'out of place' AS problem FROM ({_CHUNKS}) WHERE text IS NULL")
+@query(
+    f"""
+WITH c AS (
+  SELECT doc_id, CASE WHEN chunk_id % 11 = 10 THEN chunk_id + 1000 WHEN chunk_id % 13 = 12 THEN NULL ELSE chunk_id END AS chunk_id,
+         CASE chunk_id % 7 WHEN 6 THEN NULL WHEN 5 THEN '  ' WHEN 4 THEN text || ' ' ELSE text END AS text FROM ({_CHUNKS})
+), p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_id ASC NULLS LAST) - 1 AS place FROM c)
+SELECT doc_id, chunk_id, problem FROM (
+  SELECT doc_id, chunk_id, CASE WHEN chunk_id IS NULL THEN 'chunk_id is missing' WHEN text IS NULL THEN 'text is missing'
+         WHEN trim(text) = '' THEN 'text is blank' WHEN trim(text) <> text THEN 'text is not trimmed' WHEN chunk_id <> place THEN 'chunk_id is out of place' END AS problem
+  FROM p) WHERE problem IS NOT NULL
+"""
+)
 def chunk_violations(spark, sf_dir):
-    return _longs(chunking.chunk_violations(chunking.window_chunks(table(spark, sf_dir, "documents"), SIZE, OVERLAP)), "chunk_id")
+    """Of all windows, some of which are damaged first."""
+    k = F.col("chunk_id")
+    chunks = chunking.window_chunks(table(spark, sf_dir, "documents"), SIZE, OVERLAP)
+    text = F.when(k % 7 == 6, None).when(k % 7 == 5, "  ").when(k % 7 == 4, F.concat("text", F.lit(" "))).otherwise(F.col("text"))
+    number = F.when(k % 11 == 10, k + 1000).when(k % 13 == 12, None).otherwise(k)
+    return _longs(chunking.chunk_violations(chunks.select("doc_id", number.alias("chunk_id"), text.alias("text"))), "chunk_id")
 
 
 @query(
@@ -193,19 +226,25 @@ def triplet_relations(spark, sf_dir):
     return _longs(triplets.triplet_relations(_generated(spark, sf_dir), "chunk_id"), "pos")
 
 
-@query()
+_NAMES = rf"""
+SELECT doc_id, chunk_id, si, generate_subscripts(names, 1) AS ni, unnest(names) AS label FROM (
+  SELECT doc_id, chunk_id, si, regexp_extract_all(s, '\b[A-Z][a-z]{{2,}}(?:[\s\x0B\x1C-\x1F]+[A-Z][a-z]{{2,}})*') AS names FROM (
+    SELECT doc_id, chunk_id, generate_subscripts(ss, 1) AS si, unnest(ss) AS s FROM (
+      SELECT doc_id, chunk_id, string_split(regexp_replace(text, '([.!?])[\s\x0B\x1C-\x1F]+', '\1' || chr(1), 'g'), chr(1)) AS ss FROM ({_PAGE_CHUNKS}))))"""
+_RULE_ENTITIES = f"""
+SELECT doc_id, chunk_id, 'chunk' || chunk_id || '_n' || (row_number() OVER (PARTITION BY doc_id, chunk_id ORDER BY place) - 1) AS id, label, 'Concept' AS type
+FROM (SELECT doc_id, chunk_id, label, min((si, ni)) AS place FROM ({_NAMES}) GROUP BY doc_id, chunk_id, label)"""
+
+
+@query(_RULE_ENTITIES)
 def extraction_entities(spark, sf_dir):
     """The rule-based engine over conversations, ids with their chunk's prefix."""
     return _rules(spark, sf_dir).entities.select("doc_id", "chunk_id", "id", "label", "type")
 
 
-@query()
-def extraction_relations(spark, sf_dir):
-    return _rules(spark, sf_dir).relations.select("doc_id", "chunk_id", "pos", "source", "target", "type", "evidence_span")
-
-
-@query()
+@query(f"SELECT (SELECT count(*) FROM ({_PAGE_CHUNKS})) AS chunk_count, (SELECT count(*) FROM ({_RULE_ENTITIES})) AS entity_count, 0::BIGINT AS relation_count")
 def extraction_counts(spark, sf_dir):
+    """The tables' sentences hold one name each, so the rules relate none of them."""
     return _rules(spark, sf_dir).counts()
 
 
@@ -214,6 +253,68 @@ def _rules(spark, sf_dir) -> extraction.Extraction:
     return extraction.extract(chunks, extraction.rule_based)
 
 
+def _recorded(spark, sf_dir) -> extraction.Extraction:
+    """Payloads that a service may have given for customers' texts: the customer, its nation, and their relation.
+
+    One in nine isn't JSON, one in eleven isn't there.
+    """
+    both = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    text = F.concat("c_name", F.lit(" lives in "), "n_name")
+    entity = lambda i, label, kind: F.struct(F.lit(i).alias("id"), F.col(label).alias("label"), F.lit(kind).alias("type"))
+    relation = F.struct(F.lit("a").alias("source"), F.lit("b").alias("target"), F.lit("lives_in").alias("type"), text.alias("evidence_span"))
+    payload = F.to_json(F.struct(F.array(entity("a", "c_name", "customer"), entity("b", "n_name", "nation")).alias("entities"), F.array(relation).alias("relations")))
+    key = F.col("c_custkey")
+    rows = both.select(key.alias("doc_id"), F.lit(0).alias("chunk_id"), text.alias("text"), F.when(key % 9 == 0, "no JSON").otherwise(payload).alias("payload"))
+    return extraction.extract(rows.select("doc_id", "chunk_id", "text"), extraction.Replay(rows.where(key % 11 != 0).select("text", "payload")))
+
+
+_RECORDED = "(SELECT c_custkey, c_name, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 9 <> 0 AND c_custkey % 11 <> 0)"
+
+
+@query(f"SELECT c_custkey AS doc_id, 0::BIGINT AS chunk_id, 0::BIGINT AS pos, 'chunk0_a' AS id, c_name AS label, 'customer' AS type FROM {_RECORDED} UNION ALL SELECT c_custkey, 0, 1, 'chunk0_b', n_name, 'nation' FROM {_RECORDED}")
+def replay_entities(spark, sf_dir):
+    return _longs(_recorded(spark, sf_dir).entities, "chunk_id", "pos")
+
+
+@query(f"SELECT c_custkey AS doc_id, 0::BIGINT AS chunk_id, 0::BIGINT AS pos, 'chunk0_a' AS source, 'chunk0_b' AS target, 'lives_in' AS type, c_name || ' lives in ' || n_name AS evidence_span FROM {_RECORDED}")
+def extraction_relations(spark, sf_dir):
+    return _longs(_recorded(spark, sf_dir).relations, "chunk_id", "pos")
+
+
+@query("SELECT c_custkey AS doc_id, 0::BIGINT AS chunk_id, CASE WHEN c_custkey % 11 = 0 THEN 'nothing recorded' ELSE 'not a payload' END AS error FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 9 = 0 OR c_custkey % 11 = 0")
+def extraction_errors(spark, sf_dir):
+    return _longs(_recorded(spark, sf_dir).errors, "chunk_id")
+
+
+def _sequence(spark, sf_dir) -> extraction.Extraction:
+    """A sequence model's marked triplets, recorded for the regions' nations."""
+    texts = _generated(spark, sf_dir).select(F.col("chunk_id").cast("bigint").alias("chunk_id"), F.lit(0).cast("bigint").alias("doc_id"), F.concat(F.lit("Region "), F.col("chunk_id").cast("string"), F.lit(".")).alias("text"), "generated_text")
+    recorded = extraction.Replay(texts.select("text", F.col("generated_text").alias("payload")))
+    return extraction.extract(texts.select("doc_id", "chunk_id", "text"), recorded, generates=True)
+
+
+@query(f"SELECT 0::BIGINT AS doc_id, CAST(chunk_id AS BIGINT) AS chunk_id, CAST(substr(id, 2) AS BIGINT) AS pos, 'chunk' || chunk_id || '_' || id AS id, label, type FROM ({_TRIPLET_ENTITIES})")
+def generated_entities(spark, sf_dir):
+    return _longs(_sequence(spark, sf_dir).entities, "pos")
+
+
+@query(
+    f"""
+SELECT 0::BIGINT AS doc_id, CAST(t.chunk_id AS BIGINT) AS chunk_id, pos, 'chunk' || t.chunk_id || '_' || s.id AS source, 'chunk' || t.chunk_id || '_' || o.id AS target,
+       relation AS type, subject || ' ' || relation || ' ' || object AS evidence_span
+FROM ({_TRIPLETS}) t JOIN ({_TRIPLET_ENTITIES}) s ON t.chunk_id = s.chunk_id AND t.subject = s.label
+JOIN ({_TRIPLET_ENTITIES}) o ON t.chunk_id = o.chunk_id AND t.object = o.label
+"""
+)
+def generated_relations(spark, sf_dir):
+    return _longs(_sequence(spark, sf_dir).relations, "pos")
+
+
+@query("SELECT * FROM (VALUES ('openai', true, false), ('rebel', true, true)) AS t(engine, available, selected)")
+def engine_list(spark, sf_dir):
+    return engine_rows(spark, Settings(openai_api_key="set", extraction_engine="rebel"))
+
+
 _ENTITIES = """(
   SELECT 'region_' || r_regionkey AS id, r_name AS label, 'region' AS type FROM region
   UNION ALL SELECT 'nation_' || n_nationkey, n_name, 'nation' FROM nation
@@ -256,6 +357,38 @@ def extraction_violations(spark, sf_dir):
     return extraction.violations(known, star_relations(spark, sf_dir))
 
 
+_BARE = f"(SELECT id, CASE WHEN length(id) % 5 = 0 THEN NULL ELSE label END AS label, CASE WHEN length(id) % 3 = 0 THEN NULL ELSE type END AS type FROM {_ENTITIES})"
+
+
+def _bare(spark, sf_dir) -> DataFrame:
+    """The entities, some without a label or a type."""
+    n = F.length("id")
+    return star_entities(spark, sf_dir).select(
+        "id", F.when(n % 5 != 0, F.col("label")).alias("label"), F.when(n % 3 != 0, F.col("type")).alias("type")
+    )
+
+
+@query(f"SELECT 'entity' AS kind, id AS item, 'label is missing' AS problem FROM {_BARE} WHERE label IS NULL UNION ALL SELECT 'entity', id, 'type is missing' FROM {_BARE} WHERE type IS NULL")
+def field_violations(spark, sf_dir):
+    """Missing fields alone: ends aren't looked up."""
+    return extraction.violations(_bare(spark, sf_dir), star_relations(spark, sf_dir), endpoints=False)
+
+
+@query(f"SELECT id, coalesce(label, id) AS label, coalesce(type, 'Unknown') AS type FROM {_BARE}")
+def default_nodes(spark, sf_dir):
+    return graph.nodes_of(_bare(spark, sf_dir))
+
+
+@query(f"SELECT coalesce(type, 'Unknown') AS type, count(*) AS count FROM {_BARE} GROUP BY 1")
+def default_type_summary(spark, sf_dir):
+    return extraction.type_summary(_bare(spark, sf_dir))
+
+
+@query(f"SELECT row_number() OVER (ORDER BY type) - 1 AS ord, type FROM (SELECT DISTINCT coalesce(type, 'Unknown') AS type FROM {_BARE})")
+def distinct_types(spark, sf_dir):
+    return analytics.distinct_types(_bare(spark, sf_dir))
+
+
 # --- similarity and merging -------------------------------------------------------------------------
 
 _PAIRS = """
@@ -358,6 +491,20 @@ def dedup_stats(spark, sf_dir):
     return dedup.statistics(mapping, relations, dedup.distinct_relations(dedup.remap(relations, mapping)))
 
 
+@query(f"SELECT 'entity' AS kind, id AS item, 'label is missing' AS problem FROM {_BARE} WHERE label IS NULL AND id NOT LIKE 'supplier%' UNION ALL SELECT 'relation', target, 'target is unknown' FROM {_RELATIONS} WHERE type = 'supplied_by'"
+       f" UNION ALL SELECT 'relation', source, 'source is unknown' FROM {_RELATIONS} WHERE source LIKE 'supplier%'")
+def dedup_violations(spark, sf_dir):
+    """Of entities without the suppliers, some of which have no label."""
+    known = _bare(spark, sf_dir).where("id NOT LIKE 'supplier%'")
+    return dedup.violations(known, star_relations(spark, sf_dir))
+
+
+@query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id")
+def similarity_matrix(spark, sf_dir):
+    """The whole matrix above its diagonal: every pair is the feature here."""
+    return similarity.similar_pairs(_vectors(spark, sf_dir), -2.0).withColumn("similarity", F.round("similarity", 6))
+
+
 # --- graph ------------------------------------------------------------------------------------------
 
 _EDGES = f"(SELECT source, target, type AS label, evidence_span, ord FROM {_RELATIONS} WHERE source <> target)"
@@ -484,18 +631,89 @@ def search_relations(spark, sf_dir):
     return search.matching(relations_display(spark, sf_dir), "in_region", literal=True)
 
 
-@query("SELECT 'edge_' || (row_number() OVER (ORDER BY ord) - 1) AS id, source, target, label FROM " + _EDGES + " WHERE label = 'in_region'")
-def cytoscape_edges(spark, sf_dir):
-    """Of the nations' edges: a web graph is a single document."""
-    return sinks.cytoscape_edges(_graph(spark, sf_dir)[1].where("label = 'in_region'"))
-
-
 # A customer's and a supplier's edge can have the same ord.
 @query("SELECT 'edge_' || (row_number() OVER (ORDER BY ord, source, target, label) - 1) AS id, source, target, label FROM " + _EDGES)
-def cytoscape_all_edges(spark, sf_dir):
+def cytoscape_edges(spark, sf_dir):
     return sinks.cytoscape_edges(_graph(spark, sf_dir)[1])
 
 
+@query(f"SELECT source, target, label, ord FROM {_EDGES} UNION ALL SELECT 'nation_' || a.n_nationkey, 'nation_' || b.n_nationkey, 'related_to', 'x' FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey")
+def edges_without_loops(spark, sf_dir):
+    """With relations of no type between the nations of a region, each nation and itself among them."""
+    n = table(spark, sf_dir, "nation")
+    end = lambda name: n.select(F.concat(F.lit("nation_"), F.col("n_nationkey").cast("string")).alias(name), "n_regionkey")
+    pairs = end("source").join(end("target"), "n_regionkey")
+    more = pairs.select("source", "target", F.lit(None).cast("string").alias("type"), F.lit("").alias("evidence_span"), F.lit("x").alias("ord"))
+    return graph.edges_of(star_entities(spark, sf_dir), star_relations(spark, sf_dir).unionByName(more)).select("source", "target", "label", "ord")
+
+
+@query(f"SELECT id, label, type FROM {_ENTITIES} WHERE type IN ('customer', 'supplier', 'region')")
+def isolated_places(spark, sf_dir):
+    """Nodes that edges between orders and parts, and between nations and theirs, leave alone."""
+    nodes, edges = _graph(spark, sf_dir)
+    n = table(spark, sf_dir, "nation").select(F.concat(F.lit("nation_"), F.col("n_nationkey").cast("string")).alias("source"), F.lit("nation_0").alias("target"))
+    return analytics.isolated_nodes(nodes, edges.where("label = 'contains'").select("source", "target").unionByName(n).unionByName(_unsold(spark, sf_dir)))
+
+
+def _unsold(spark, sf_dir) -> DataFrame:
+    """Edges that name every part and order, so that none of them is alone."""
+    return star_entities(spark, sf_dir).where("type IN ('part', 'order')").select(F.col("id").alias("source"), F.col("id").alias("target"))
+
+
+@query(f"SELECT id, label, type, degree FROM {_ONE_DEGREES} ORDER BY degree DESC, id LIMIT 12")
+def top_entities_chart(spark, sf_dir):
+    return analytics.top_entities(*_graph(spark, sf_dir), k=12)
+
+
+@query(f"SELECT count(*) FILTER (WHERE regexp_matches(id, '(?i)steel') OR regexp_matches(label, '(?i)steel') OR regexp_matches(type, '(?i)steel')) AS shown, count(*) AS total FROM {_ENTITIES}")
+def search_shown(spark, sf_dir):
+    return search.shown(star_entities(spark, sf_dir), "steel")
+
+
+_QUOTED = """CASE WHEN regexp_matches({0}, '[,"\n\r]') THEN '"' || replace({0}, '"', '""') || '"' ELSE {0} END"""
+
+
+@query(f"SELECT {_QUOTED.format('label')} || ',' || type || ',' || id AS line FROM {_ENTITIES}")
+def export_entities_csv(spark, sf_dir):
+    return sinks.csv_lines(star_entities(spark, sf_dir))
+
+
+@query(f"SELECT source || ',' || target || ',' || type || ',' || evidence_span AS line FROM {_RELATIONS}")
+def export_relations_csv(spark, sf_dir):
+    return sinks.csv_lines(star_relations(spark, sf_dir).drop("ord"), sinks.RELATION_COLUMNS)
+
+
+@query(f"""SELECT '{{"id":' || to_json(id) || CASE WHEN label IS NULL THEN '' ELSE ',"label":' || to_json(label) END || CASE WHEN type IS NULL THEN '' ELSE ',"type":' || to_json(type) END || '}}' AS line FROM {_BARE}""")
+def export_json_nodes(spark, sf_dir):
+    return sinks.json_lines(_bare(spark, sf_dir))
+
+
+def _escaped(c: str) -> str:
+    return f"replace(replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+
+
+@query(f"""SELECT '<node id="' || {_escaped('id')} || '"><data key="d0">' || {_escaped('label')} || '</data><data key="d1">' || type || '</data></node>' AS line FROM {_ENTITIES}
+UNION ALL SELECT '<edge source="' || source || '" target="' || target || '"><data key="d2">' || label || '</data></edge>' FROM {_DIGRAPH}""")
+def export_graphml(spark, sf_dir):
+    return sinks.graphml_lines(*_graph(spark, sf_dir))
+
+
+_COLOURED = f"(SELECT id, CASE type WHEN 'customer' THEN 'Person' WHEN 'supplier' THEN 'Organization' WHEN 'nation' THEN 'Location' WHEN 'region' THEN 'Concept' WHEN 'part' THEN 'Product' ELSE type END AS type FROM {_ENTITIES})"
+
+
+@query(f"SELECT id, CASE type WHEN 'Person' THEN '#42A5F5' WHEN 'Organization' THEN '#AB47BC' WHEN 'Location' THEN '#66BB6A' WHEN 'Concept' THEN '#FFA726' WHEN 'Product' THEN '#26C6DA' ELSE '#90A4AE' END AS color FROM {_COLOURED}")
+def node_colours(spark, sf_dir):
+    """With the star schema's types under the names that have colours."""
+    names = {"customer": "Person", "supplier": "Organization", "nation": "Location", "region": "Concept", "part": "Product"}
+    kind = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), F.col("type")), F.col("type"))
+    return star_entities(spark, sf_dir).select("id", fn.type_colour(kind).alias("color"))
+
+
+@query(f"SELECT item_id, CASE WHEN length(text) > 22 THEN left(text, 22) || '…' ELSE text END AS short, CASE WHEN length(text) > 35 THEN left(text, 35) || '…' ELSE text END AS middle FROM benchmark")
+def truncations(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", fn.truncated(F.col("text"), 22).alias("short"), fn.truncated(F.col("text"), 35).alias("middle"))
+
+
 @query(
     f"""
 SELECT id, CASE WHEN length(label) > 28 THEN left(label, 28) || '…' ELSE label END AS label, type,
@@ -508,43 +726,41 @@ def view_nodes(spark, sf_dir):
     return sinks.view_nodes(*_graph(spark, sf_dir))
 
 
-_AREA = """(
-  SELECT 'region_' || r_regionkey AS id, r_regionkey AS r FROM region
-  UNION ALL SELECT 'nation_' || n_nationkey, n_regionkey FROM nation
-  UNION ALL SELECT 'customer_' || c_custkey, n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
-
-
-def _places(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Customers in nations in regions: a forest, one tree for each region."""
-    nodes, edges = _graph(spark, sf_dir)
-    return nodes.where("type IN ('region', 'nation', 'customer')"), edges.where("label IN ('in_region', 'located_in') AND source NOT LIKE 'supplier%'")
+#: The smallest id reachable spreads along the edges; each round keeps one row for each node.
+_COMPONENTS = f"""
+WITH RECURSIVE n AS MATERIALIZED (SELECT id, label, type FROM {_ENTITIES}),
+g AS MATERIALIZED (SELECT source, target FROM {_DIGRAPH}),
+e AS MATERIALIZED (SELECT source AS a, target AS b FROM g UNION SELECT target, source FROM g),
+c(id, component) USING KEY (id) AS (
+  SELECT id, id FROM n
+  UNION
+  SELECT e.b, min(c.component) FROM c JOIN e ON c.id = e.a JOIN recurring.c AS r ON r.id = e.b WHERE c.component < r.component GROUP BY e.b
+)"""
 
 
-@query(f"SELECT id, min(id) OVER (PARTITION BY r) AS component FROM {_AREA}")
+@query(_COMPONENTS + " SELECT id, component FROM c")
 def weak_components(spark, sf_dir):
-    return analytics.weak_components(*_places(spark, sf_dir))
+    return analytics.weak_components(*_graph(spark, sf_dir))
 
 
-_FIGURES = f"""
+_FIGURES = f"""{_COMPONENTS}, f AS (
 SELECT n AS num_nodes, e AS num_edges, round(CAST(e AS DOUBLE) / (CAST(n AS DOUBLE) * (n - 1)), 4) AS density,
-       round(2.0 * e / n, 2) AS avg_degree, (SELECT count(*) FROM region) AS num_components,
-       (SELECT count(*) FROM region WHERE r_regionkey NOT IN (SELECT n_regionkey FROM nation)) AS isolated_nodes
-FROM (SELECT (SELECT count(*) FROM {_AREA}) AS n, (SELECT count(*) FROM nation) + (SELECT count(*) FROM customer) AS e)"""
+       round(2.0 * e / n, 2) AS avg_degree, (SELECT count(DISTINCT component) FROM c) AS num_components,
+       (SELECT count(*) FROM n WHERE id NOT IN (SELECT a FROM e)) AS isolated_nodes
+FROM (SELECT (SELECT count(*) FROM n) AS n, (SELECT count(*) FROM g) AS e))"""
 
 
-@query(_FIGURES)
+@query(_FIGURES + " SELECT * FROM f")
 def analytics_figures(spark, sf_dir):
-    row = analytics.analytics(*_places(spark, sf_dir))
+    row = analytics.analytics(*_graph(spark, sf_dir))
     return row.select("num_nodes", "num_edges", "density", "avg_degree", "num_components", "isolated_nodes")
 
 
 @query(
-    f"""
-WITH f AS ({_FIGURES}),
-d AS (SELECT 'nation_' || n_nationkey AS id, n_name AS label, 'nation' AS type, 1 + count(c_custkey) AS degree
-      FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey, n_name
-      UNION ALL SELECT 'region_' || r_regionkey, r_name, 'region', count(n_nationkey) FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey, r_name),
+    f"""{_FIGURES},
+d AS (SELECT n.id, n.label, n.type, count(*) AS degree FROM n JOIN (SELECT source AS id FROM g UNION ALL SELECT target FROM g) x ON n.id = x.id GROUP BY n.id, n.label, n.type),
 b AS (SELECT * FROM d ORDER BY degree DESC, id LIMIT 1),
+k AS (SELECT type, count(*) AS count FROM n GROUP BY type ORDER BY count DESC, type LIMIT 1),
 l AS (
   SELECT 0 AS o, '**' || num_nodes || ' unique entities** and **' || num_edges || ' relationships** extracted from this document.' AS insight FROM f WHERE num_nodes > 0
   UNION ALL SELECT 1, '**' || label || '** (' || type || ') is the most connected entity with **' || degree || ' direct relationships**.' FROM b
@@ -552,30 +768,13 @@ l AS (
                            WHEN density > 0.1 THEN 'The graph has **moderate connectivity**, indicating a well-structured document with clear topic clusters.'
                            ELSE 'The graph is **sparsely connected**, typical of broad documents covering many independent topics.' END FROM f WHERE density > 0
   UNION ALL SELECT 3, '**' || num_components || ' distinct knowledge clusters** detected — consider cross-referencing these topic groups.' FROM f WHERE num_components > 1
-  UNION ALL SELECT 4, '**customer** is the most prevalent entity type, representing **' || CAST(round((SELECT count(*) FROM customer) / CAST(num_nodes AS DOUBLE) * 100) AS BIGINT) || '%** of all entities.' FROM f
+  UNION ALL SELECT 4, '**' || type || '** is the most prevalent entity type, representing **' || CAST(round(count / CAST(num_nodes AS DOUBLE) * 100) AS BIGINT) || '%** of all entities.' FROM f, k
   UNION ALL SELECT 5, 'Entities have an average of **' || avg_degree || ' connections** each.' FROM f WHERE avg_degree > 0
   UNION ALL SELECT 6, '**' || isolated_nodes || ' isolated entities** detected — these may represent standalone concepts worth reviewing manually.' FROM f WHERE isolated_nodes > 0)
 SELECT row_number() OVER (ORDER BY o) - 1 AS ord, insight FROM l
 """
 )
 def insights(spark, sf_dir):
-    return _longs(analytics.insights(analytics.analytics(*_places(spark, sf_dir))), "ord")
-
-
-# The same three over all nodes and edges, without SQL: components of the whole graph are too slow there.
-@query()
-def graph_components(spark, sf_dir):
-    return analytics.weak_components(*_graph(spark, sf_dir))
-
-
-@query()
-def graph_figures(spark, sf_dir):
-    row = analytics.analytics(*_graph(spark, sf_dir))
-    return row.select("num_nodes", "num_edges", "density", "avg_degree", "num_components", "isolated_nodes")
-
-
-@query()
-def graph_insights(spark, sf_dir):
     return _longs(analytics.insights(analytics.analytics(*_graph(spark, sf_dir))), "ord")
 
 

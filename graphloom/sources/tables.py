@@ -70,10 +70,28 @@ def star_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def load_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges from a file with one object ``{"nodes": [...], "edges": [...]}``."""
-    whole = spark.read.schema(f"nodes array<struct<{_fields(NODES)}>>, edges array<struct<{_fields(EDGES)}>>").json(path, multiLine=True)
-    return whole.select(F.inline("nodes")), whole.select(F.inline("edges"))
+def load_graph(spark: SparkSession, path: str, nodes: str = "", edges: str = "") -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges from a file with one object ``{"nodes": [...], "edges": [...]}``.
+
+    Further fields of nodes and edges are those that the file has, or, where a DDL of them is given, those.
+    """
+    if nodes or edges:
+        kinds = (", ".join(filter(None, x)) for x in ((NODES, nodes), (EDGES, edges)))
+        n, e = (_fields(x) for x in kinds)
+        whole = spark.read.schema(f"nodes array<struct<{n}>>, edges array<struct<{e}>>").json(path, multiLine=True)
+        return whole.select(F.inline("nodes")), whole.select(F.inline("edges"))
+    found = spark.read.json(path, multiLine=True)
+    return tuple(_with_declared(found, name, ddl) for name, ddl in (("nodes", NODES), ("edges", EDGES)))
+
+
+def _with_declared(whole: DataFrame, name: str, ddl: str) -> DataFrame:
+    """The rows of one array: the declared fields first, null where the file lacks them, then all others."""
+    kind = whole.schema[name].dataType if name in whole.columns else None
+    fields = [f.name for f in kind.elementType.fields] if kind is not None and hasattr(kind, "elementType") and hasattr(kind.elementType, "fields") else []
+    declared = [x.split()[0] for x in ddl.split(", ")]
+    rows = whole.select(F.explode(name).alias("x")) if fields else whole.limit(0).select(F.lit(None).alias("x"))
+    first = [(F.col(f"x.`{c}`") if c in fields else F.lit(None)).cast("string").alias(c) for c in declared]
+    return rows.select(*first, *[F.col(f"x.`{c}`") for c in fields if c not in declared])
 
 
 def _fields(ddl: str) -> str:

@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from graphloom.config import Settings, engines
+from graphloom.config import Settings, engine_rows, engines
 from graphloom.operators import analytics, dedup, extraction, graph, search, similarity, triplets
 from graphloom.operators.components import connected_components
 from graphloom.plans.pipeline import Pipeline
@@ -270,7 +270,7 @@ def test_engine_failures_keep_their_chunks(spark):
     assert got.counts().first().asDict() == {"chunk_count": 4, "entity_count": 1, "relation_count": 1}
     assert [r.problem for r in extraction.violations(got.entities, got.relations).collect()] == ["target is unknown"]
     recorded = spark.createDataFrame([("good", payload)], "text string, payload string")
-    replayed = extraction.from_payloads(chunks, extraction.replay(recorded)(chunks))
+    replayed = extraction.extract(chunks, extraction.Replay(recorded))
     assert replayed.entities.count() == 1 and replayed.errors.count() == 2
 
     def generate():
@@ -335,3 +335,35 @@ def test_stream_of_pages(spark, tmp_path):
         chunks = ingest.chunk_stream(ingest.page_stream(spark, f"{tmp_path}/in"))
         ingest.write_chunks(chunks, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination(60)
     assert spark.read.parquet(f"{tmp_path}/out").groupBy("doc_id").count().count() == 2
+
+
+def test_engines_by_name(spark):
+    settings = Settings(extraction_engine="rules", chunk_size=300, chunk_overlap=20)
+    plan = Pipeline.from_settings(settings)
+    assert (plan.engine, plan.generates, plan.size, plan.overlap) == (extraction.rule_based, False, 300, 20)
+    assert Pipeline.from_settings(Settings(extraction_engine="rebel")).generates
+    assert not Pipeline.from_settings(Settings(openai_api_key="k")).generates
+    for bad in (Settings(extraction_engine="other"), Settings(), Settings(extraction_engine="rules", chunk_overlap=900)):
+        with pytest.raises(ValueError):
+            Pipeline.from_settings(bad)
+    with pytest.raises(ValueError):
+        extraction.engine_for(Settings(extraction_engine="other"))
+    rows = {tuple(r) for r in engine_rows(spark, Settings(openai_api_key="k")).collect()}
+    assert rows == {("openai", True, True), ("rebel", True, False)}
+
+
+def test_json_graphs_keep_their_fields(spark, tmp_path):
+    whole = {
+        "nodes": [{"id": "a", "type": "Person", "age": 3}, {"id": "b", "label": "B", "note": "x"}],
+        "edges": [{"source": "a", "target": "b", "label": "knows", "evidence_span": "a knows b"}],
+    }
+    with open(f"{tmp_path}/g.json", "w") as f:
+        json.dump(whole, f)
+    nodes, edges = tables.load_graph(spark, f"{tmp_path}/g.json")
+    assert nodes.columns[:3] == ["id", "label", "type"] and {(r.id, r.label, r.age, r.note) for r in nodes.collect()} == {("a", None, 3, None), ("b", "B", None, "x")}
+    assert edges.first().evidence_span == "a knows b" and edges.first().label == "knows"
+    nodes, edges = tables.load_graph(spark, f"{tmp_path}/g.json", nodes="age STRING")
+    assert nodes.columns == ["id", "label", "type", "age"] and edges.columns == ["source", "target", "label"]
+    with open(f"{tmp_path}/e.json", "w") as f:
+        json.dump({"nodes": [], "edges": []}, f)
+    assert [x.count() for x in tables.load_graph(spark, f"{tmp_path}/e.json")] == [0, 0]

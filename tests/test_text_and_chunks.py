@@ -122,3 +122,11 @@ def test_display_values(spark):
         fn.percent(F.lit(1), F.lit(0)).alias("g"), fn.evidence(F.lit("a"), F.lit("b"), F.lit("c")).alias("h"), fn.escaped(F.lit('<a&"')).alias("i"),
     ).first()
     assert tuple(row) == (14, 55, "x" * 28 + "…", "#42A5F5", "#90A4AE", 33, 0, "a b c", "&lt;a&amp;&quot;")
+
+
+def test_blank_windows_are_not_numbered(spark):
+    text = "a" + " " * 95 + "b" + "c" * 40
+    docs = spark.createDataFrame([(1, text), (2, "  "), (3, None), (4, "x")], "doc_id int, text string")
+    got = [tuple(r) for r in ch.window_chunks(docs, 20, 0).orderBy("doc_id", "chunk_id").collect()]
+    want = [(1, i, s, min(s + 20, 137), text[s : s + 20].strip()) for i, s in enumerate(x for x in range(0, 137, 20) if text[x : x + 20].strip())]
+    assert got == [*want, (4, 0, 0, 1, "x")]
