@@ -14,11 +14,11 @@ from graphloom.llm.lang_id import language_stage
 from graphloom.llm.line_dedup import line_stage
 from graphloom.llm.mixing import mixing_stage
 from graphloom.llm.near_dedup import near_stage
-from graphloom.session import materialize
+from graphloom.session import discard, materialize
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or whose language can't be told, go."""
+    """Documents without a letter have no language and go; a missing label becomes the language found."""
     return language_stage(docs)
 
 
@@ -56,7 +56,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, done = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), "stage")
+        if done is not None:
+            discard(done)
+        done = docs
     return STAGES[-1][1](spark, docs, sf_dir)
