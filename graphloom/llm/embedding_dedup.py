@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import materialize, only, table
 from graphloom.operators.components import connected_components
+from graphloom.session import discard
 
 #: Distinct vectors of a label for each of its pivots, and most pivots of a label, whose cells then grow.
 PER_PIVOT, PIVOTS = 1500, 256
@@ -66,7 +67,7 @@ def link(df: DataFrame, cosine: float = 0.98) -> DataFrame:
     good = _vectors(slim).select("vec_id", "label", "v", "u")
     same = good.groupBy("label", "v").agg(F.min("vec_id").alias("cid"), F.count("*").alias("copies"), F.first("u").alias("u"))
     same = materialize(same.withColumn("h", F.xxhash64("v")), "vec-classes")
-    found = materialize(_cells(same, cosine), "vec-links")
+    found = _cells(same, cosine)
     near = found.groupBy("cid", "h").agg(F.sum("near").alias("near")).where("near > 0")
     edges = found.where("root <> cid").select("cid", "root").distinct()
     which = F.xxhash64("label", "v")
@@ -200,7 +201,10 @@ def _cells(same: DataFrame, cosine: float) -> DataFrame:
         return pd.DataFrame(out)
 
     both = one.select(*kept).unionByName(two.select(*kept))
-    return both.groupBy("label", "cell", "i", "j").applyInPandas(compare, "cid bigint, h bigint, near bigint, root bigint")
+    links = both.groupBy("label", "cell", "i", "j").applyInPandas(compare, "cid bigint, h bigint, near bigint, root bigint")
+    links = materialize(links, "vec-links")
+    discard(there)
+    return links
 
 
 def _scaled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import matching, materialize, only, table
+from graphloom.session import discard
 
 #: Characters of the shortest lines that have neighbours; a caller may ask for more.
 LEAST = 1
@@ -100,6 +101,8 @@ def near_lines(docs: DataFrame, distinct: DataFrame, least: int = LEAST) -> Data
     keyed = _gap_keys(wide, 16)
     found = keyed.join(_shared(keyed), "key", "left_semi").select("h1", "h2").distinct()
     narrow = materialize(wide.join(found, ["h1", "h2"], "left_semi"), "gap-narrow")
+    discard(shared)
+    discard(wide)
     variants = materialize(_variants(narrow), "variants")
     cuts, selves = variants.where("i >= 0"), variants.where("i < 0")
     # Replaced: all lines with one key are one edit apart; a line's earliest fellow decides.
@@ -117,7 +120,10 @@ def near_lines(docs: DataFrame, distinct: DataFrame, least: int = LEAST) -> Data
     text = narrow.select("h1", "h2", "line")
     other = text.select(F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("line").alias("other"))
     verified = pairs.join(text, ["h1", "h2"]).join(other, ["e1", "e2"]).where(F.levenshtein("line", "other", 1) >= 0)
-    return verified.select("h1", "h2").distinct()
+    near = materialize(verified.select("h1", "h2").distinct(), "lines-near")
+    discard(narrow)
+    discard(variants)
+    return near
 
 
 def decide(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -136,7 +142,7 @@ def decide(docs: DataFrame, least: int = LEAST) -> DataFrame:
     )
     first = lines_of(slim).groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "th", "ln")).alias("first"))
     distinct = materialize(first, "lines")
-    near = materialize(near_lines(slim, distinct, least), "lines-near")
+    near = near_lines(slim, distinct, least)
     stay = distinct.join(near, ["h1", "h2"], "left_anti").select("first.*")
     lists = stay.groupBy("doc_id", "th").agg(F.collect_list("ln").alias("__stay"))
     lists = lists.select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"), "__stay")
