@@ -33,7 +33,6 @@ _CONTEXT = re.compile(
     r"client[_ -]?id|signature|encryption|\bauth\b|\bpwd\b|\bkey\b",
     re.I | re.A,
 )
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]+")
 _DIGIT = re.compile(r"[0-9]")
 #: Character classes: small letters, digits, and capitals that don't just begin a word.
 _CLASSES = (re.compile(r"[a-z]"), _DIGIT, re.compile(r"[A-Z](?![a-z])"))
@@ -105,7 +104,7 @@ class Novelty:
         )
         self.compress = zstandard.ZstdCompressor(dict_data=primed, compression_params=params).compress
         self.around, self.reach, self.least = around, reach, least
-        self.shortest, self.classes = shortest, classes
+        self.candidate, self.classes = re.compile(rf"[A-Za-z0-9+/_=-]{{{shortest},}}"), classes
 
     def marginal(self, context: bytes, candidate: bytes) -> float:
         """Compressed bytes that the candidate adds after the context, for each of its own."""
@@ -123,13 +122,13 @@ class Novelty:
             return found
         base = sorted(taken)
         starts, reached = [a for a, _, _ in base], list(itertools.accumulate((b for _, b, _ in base), max))
-        for m in _CANDIDATE.finditer(text):
+        for m in self.candidate.finditer(text):
             start, end = m.span()
             before = bisect.bisect_right(words, start)
             if not before or start > words[before - 1] + self.reach:
                 continue
             token = m[0]
-            if end - start < self.shortest or sum(bool(c.search(token)) for c in _CLASSES) < self.classes:
+            if sum(bool(c.search(token)) for c in _CLASSES) < self.classes:
                 continue
             at = bisect.bisect_left(starts, end) - 1
             if at >= 0 and reached[at] > start:
