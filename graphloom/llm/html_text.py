@@ -26,6 +26,8 @@ STUB, FEW = 40, 0.05
 
 _TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _SPECIAL = re.compile(r"""[>"']""")
+#: A whole tag in which no other may begin, so a vain try ends at the next one.
+_WHOLE = re.compile(r"""</?([a-zA-Z][^\s/><"']*+)[^<>"']*+(?:"[^<"]*+"[^<>"']*+|'[^<']*+'[^<>"']*+)*+>""")
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -104,6 +106,8 @@ class Markup:
         html, size = self.html, self.size
         start = html.find("<", at)
         while start >= 0:
+            if self.quotes and (whole := _WHOLE.match(html, start)):
+                return start, whole.end(), whole
             if html.startswith("<!--", start) or html.startswith("<![CDATA[", start):
                 close = "-->" if html[start + 2] == "-" else "]]>"
                 end = html.find(close, start + (4 if close == "-->" else 9))
@@ -200,7 +204,7 @@ class Page:
             at = end
             if name is None:
                 continue
-            tag, inner = name[1].lower(), html[name.end() : end - 1]
+            tag, inner = name[1].lower(), html[name.end(1) : end - 1]
             if html[start + 1] == "/":
                 if opened[tag]:
                     pop_to(opened[tag][-1])
