@@ -56,7 +56,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
         if not weight:
             share = F.lit(0.0)
             break
-        share = (F.lit(rest) * F.col("w")).cast("double") / F.lit(weight)
+        # A literal of under 2^31 is an int, and its product with a weight would overflow.
+        share = (F.lit(rest).cast("bigint") * F.col("w")).cast("double") / F.lit(weight)
         over = ~stopped & (share > F.col("stop"))
         if not ranked.where(over).limit(1).count():
             break

@@ -464,3 +464,9 @@ def test_excess_is_shared_again(spark):
     got = {r.source: r.target for r in mixing.targets(sizes).collect()}
     # Of 1110, weights 1, 2, 3, 1: c stops at 0, then a at 30, then b at 300.
     assert got == {"a": 30.0, "b": 300.0, "c": 0.0, None: 780.0}
+
+
+def test_targets_of_sums_whose_products_pass_an_int(spark):
+    sizes = spark.createDataFrame([("a", 400_000_000), ("b", 500_000_000), ("c", 700_000_000)], "source string, source_size bigint")
+    got = {r.source: r.target for r in mixing.targets(sizes).collect()}
+    assert got == {"a": pytest.approx(1.6e9 / 6), "b": pytest.approx(1.6e9 / 3), "c": 0.8e9}
