@@ -367,3 +367,20 @@ def test_json_graphs_keep_their_fields(spark, tmp_path):
     with open(f"{tmp_path}/e.json", "w") as f:
         json.dump({"nodes": [], "edges": []}, f)
     assert [x.count() for x in tables.load_graph(spark, f"{tmp_path}/e.json")] == [0, 0]
+
+
+def test_pairs_rounded_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "TILE", 7)
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(30, 5)).round(2)
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    for ids in (list(range(30)), [f"v{i:02}" for i in range(30)]):
+        rows = [*zip(ids, v.tolist(), strict=True), (None, [1.0] * 5), (None, [2.0] * 5)]
+        df = spark.createDataFrame(rows, f"id {'bigint' if ids[0] == 0 else 'string'}, embedding array<double>")
+        got = {(r.a, r.b): r.similarity for r in similarity.similar_pairs(df, -2.0, decimals=3).collect()}
+        assert got == {(ids[i], ids[j]): pytest.approx(unit[i] @ unit[j], abs=5.01e-4) for i in range(30) for j in range(i + 1, 30)}
+        assert all(s == round(s, 3) for s in got.values())
+    assert similarity.rounded(np.array([0.0625, -0.0625, 0.1874, 1 + 2**-52]), 3).tolist() == [0.063, -0.063, 0.187, 1.0]
+    uneven = spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "id bigint, embedding array<double>")
+    with pytest.raises(Exception, match="differ in length"):
+        similarity.similar_pairs(uneven, 0.5).collect()
