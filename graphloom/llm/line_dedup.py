@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import matching, materialize, only, table
+from graphloom.llm.common import bitmap, matching, materialize, only, sift, table
 from graphloom.session import discard
 
 #: Characters of the shortest lines that have neighbours; a caller may ask for more.
@@ -26,8 +26,13 @@ BLOCK = 64
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """``doc_id, th, ln, line, n, h1, h2`` of every line that isn't blank; ``th`` is the text's hash."""
-    cut = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("ln", "line"))
+    """``doc_id, th, ln, line, n, h1, h2`` of every line that isn't blank; ``th`` is the text's hash.
+
+    Here and below rows are exploded as ``outer``: else the optimizer filters by the array's size first,
+    and so makes each array twice. The text is hashed before that, not again for each line.
+    """
+    texts = docs.select("doc_id", F.xxhash64("text").alias("th"), F.split("text", "\n", -1).alias("lines"))
+    cut = texts.select("doc_id", "th", F.posexplode_outer("lines").alias("ln", "line"))
     cut = cut.withColumn("line", _stripped(F.col("line"))).where("line <> ''")
     return cut.select("*", F.length("line").alias("n"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
@@ -49,8 +54,8 @@ def _gap_keys(lines: DataFrame, finer: int) -> DataFrame:
         g = f"greatest(1, shiftleft(1, length(bin((n + {m} - 1) div 2)) - 1) div {finer})"
         return f"named_struct('g', {g}, 't', greatest(0, (((n + {m} - 1) div {g}) - 1) * {g}))"
 
-    grids = F.expr(f"explode(array_distinct(array({grid('(-1)')}, {grid('0')}, {grid('1')})))")
-    placed = lines.withColumn("grid", grids).withColumn("p", F.expr("explode(sequence(0, int(grid.t div grid.g)))"))
+    grids = F.expr(f"explode_outer(array_distinct(array({grid('(-1)')}, {grid('0')}, {grid('1')})))")
+    placed = lines.withColumn("grid", grids).withColumn("p", F.expr("explode_outer(sequence(0, int(grid.t div grid.g)))"))
     key = F.expr(
         "xxhash64(grid.g, grid.t, p, substring(line, 1, int(p * grid.g)), "
         "substring(line, int(n - grid.t + p * grid.g + 1), int(grid.t - p * grid.g)))"
@@ -71,7 +76,7 @@ def _variants(lines: DataFrame) -> DataFrame:
     blocks before the deletion are the line's own, those after it are the line's one character later.
     """
     blocks = lines.select(
-        "h1", "h2", "first", "n", F.expr(f"explode(sequence(0, (n - 1) div {BLOCK}))").alias("j"), "line"
+        "h1", "h2", "first", "n", F.expr(f"explode_outer(sequence(0, (n - 1) div {BLOCK}))").alias("j"), "line"
     ).select("h1", "h2", "first", "n", "j", F.expr(f"substring(line, int(j * {BLOCK} + 1), {BLOCK + 1})").alias("seg"))
     own, later = F.expr(f"substring(seg, 1, {BLOCK})"), F.expr("substring(seg, 2)")
     hashed = lambda x: F.when(F.length(x) > 0, F.xxhash64("j", x)).otherwise(F.lit(0).cast("bigint"))
@@ -85,7 +90,7 @@ def _variants(lines: DataFrame) -> DataFrame:
         F.bit_xor("later").over(line).bitwiseXOR(F.bit_xor("later").over(upto)).alias("after"),
     )
     selves = blocks.where("j = 0").select("h1", "h2", "first", F.col("whole").alias("v"), "n", F.lit(-1).alias("i"))
-    cuts = blocks.withColumn("k", F.expr(f"explode(sequence(0, least({BLOCK}, length(seg)) - 1))"))
+    cuts = blocks.withColumn("k", F.expr(f"explode_outer(sequence(0, least({BLOCK}, length(seg)) - 1))"))
     mixed = F.expr("concat(substring(seg, 1, k), substring(seg, k + 2))")
     v = F.col("before").bitwiseXOR(hashed(mixed)).bitwiseXOR(F.col("after"))
     cuts = cuts.select("h1", "h2", "first", v.alias("v"), (F.col("n") - 1).alias("n"), F.expr(f"int(j * {BLOCK} + k)").alias("i"))
@@ -106,12 +111,14 @@ def near_lines(docs: DataFrame, distinct: DataFrame, least: int = LEAST) -> Data
     variants = materialize(_variants(narrow), "variants")
     cuts, selves = variants.where("i >= 0"), variants.where("i < 0")
     # Replaced: all lines with one key are one edit apart; a line's earliest fellow decides.
+    keyed = cuts.withColumn("key", F.xxhash64("v", "n", "i"))
+    several = materialize(_shared(keyed), "variant-keys")
     group = Window.partitionBy("v", "n", "i")
-    earliest = cuts.withColumn("e", F.min(F.struct("first", "h1", "h2")).over(group)).where("first > e.first")
+    earliest = matching(keyed, "key", several).withColumn("e", F.min(F.struct("first", "h1", "h2")).over(group)).where("first > e.first")
     replaced = earliest.select("h1", "h2", F.col("e.h1").alias("e1"), F.col("e.h2").alias("e2"))
     # Inserted or deleted: a line and another's variant.
     short = selves.select("v", "n", F.col("first").alias("f"), F.col("h1").alias("s1"), F.col("h2").alias("s2"))
-    both = cuts.join(short, ["v", "n"])
+    both = sift(cuts, "v", bitmap(selves, "v")).join(short, ["v", "n"])
     longer_goes = both.where("first > f").select("h1", "h2", F.col("s1").alias("e1"), F.col("s2").alias("e2"))
     shorter_goes = both.where("first < f").select(
         F.col("s1").alias("h1"), F.col("s2").alias("h2"), F.col("h1").alias("e1"), F.col("h2").alias("e2")
@@ -123,6 +130,7 @@ def near_lines(docs: DataFrame, distinct: DataFrame, least: int = LEAST) -> Data
     near = materialize(verified.select("h1", "h2").distinct(), "lines-near")
     discard(narrow)
     discard(variants)
+    discard(several)
     return near
 
 

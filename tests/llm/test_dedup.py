@@ -373,3 +373,10 @@ def test_far_cells_are_not_visited(spark):
     finally:
         embedding_dedup.PER_PIVOT = kept
     assert sum(c.own for c in cells) == 600 and len(cells) < 600 * 6
+
+
+def test_lines_are_split_once(spark, odd_docs):
+    lines = line_dedup.lines_of(odd_docs)
+    for df in (lines, line_dedup._gap_keys(lines, 1), line_dedup._variants(lines.withColumn("first", F.lit(1)))):
+        # A filter by the size of an exploded array would make the array twice.
+        assert "size(" not in df._jdf.queryExecution().optimizedPlan().toString()
