@@ -14,13 +14,12 @@ import hashlib
 import re
 import sys
 from array import array
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import arrow_map, only, table
+from graphloom.llm.common import arrow_map, kept, only, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Encoded pieces that a worker remembers; beyond it the memory starts anew.
@@ -245,10 +244,9 @@ class PrefixEncoder:
         return self.table.walk_back(self.path)
 
 
-@lru_cache(maxsize=2)
 def tokenizer_for(path: str, pattern: str) -> Tokenizer:
-    """One tokenizer for each Python worker; later tasks of the worker use it again."""
-    return Tokenizer(path, pattern)
+    """One tokenizer for each Python worker; later tasks of the worker use it again, or free it."""
+    return kept(("tokenizer", path, pattern), lambda: Tokenizer(path, pattern))
 
 
 class Tokenizer:

@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from graphloom.llm import byte_bpe, fingerprints, lang_id, mixing, secrets
+from graphloom.llm import byte_bpe, common, fingerprints, lang_id, mixing, secrets
 from graphloom.llm.html_text import Page, extract
 from tests.llm.conftest import prose
 
@@ -470,3 +470,18 @@ def test_targets_of_sums_whose_products_pass_an_int(spark):
     sizes = spark.createDataFrame([("a", 400_000_000), ("b", 500_000_000), ("c", 700_000_000)], "source string, source_size bigint")
     got = {r.source: r.target for r in mixing.targets(sizes).collect()}
     assert got == {"a": pytest.approx(1.6e9 / 6), "b": pytest.approx(1.6e9 / 3), "c": 0.8e9}
+
+
+def test_a_worker_frees_what_its_next_task_does_not_use():
+    made = []
+
+    def task(*names):
+        def make():
+            got = [common.kept((n,), lambda n=n: made.append(n) or [n]) for n in names]
+            return lambda c: {"got": got}
+
+        return common.begin(make)({})["got"]
+
+    assert task("a") == task("a") == [["a"]] and task("a", "b") == [["a"], ["b"]] and made == ["a", "b"]
+    assert task() == [] and not common._KEPT
+    assert task("b") == [["b"]] and made == ["a", "b", "b"]
