@@ -21,11 +21,12 @@ def canonical(entities: DataFrame, by: str = "cluster_id", order: str = "ord") -
 def entity_mapping(entities: DataFrame, labels: DataFrame) -> DataFrame:
     """``old_id, canonical_id`` from ``id, label, ord`` and ``id, cluster_id``.
 
-    Only the canonical row of each cluster is found by aggregation; no task holds a cluster.
+    Only the canonical row of each cluster is found by aggregation; no task holds a cluster. As in
+    ``canonical``, a null label stands behind all others.
     """
     placed = entities.join(labels, "id")
     best = placed.groupBy("cluster_id").agg(
-        F.min_by("id", F.struct((-F.length("label")).alias("n"), "label", "ord")).alias("canonical_id")
+        F.min_by("id", F.struct(F.isnull("label").alias("none"), (-F.length("label")).alias("n"), "label", "ord")).alias("canonical_id")
     )
     return placed.join(best, "cluster_id").select(F.col("id").alias("old_id"), "canonical_id")
 
