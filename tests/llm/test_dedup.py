@@ -1,6 +1,7 @@
 """Operators that compare texts or vectors with each other, against brute force."""
 
 import collections
+import hashlib
 import random
 import re
 
@@ -380,3 +381,22 @@ def test_lines_are_split_once(spark, odd_docs):
     for df in (lines, line_dedup._gap_keys(lines, 1), line_dedup._variants(lines.withColumn("first", F.lit(1)))):
         # A filter by the size of an exploded array would make the array twice.
         assert "size(" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_suffix_dedup_query_returns_what_stays(spark, tmp_path):
+    """A passage of two texts goes, one of under 400 bytes stays; a cut may divide a character."""
+    long, short = "".join(f"passage {i} " for i in range(60)), "".join(f"bit {i} " for i in range(55))
+    texts = ["head \u00e9" + long + " tail", "\u00e8" + long, short + "one", "two " + short, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in suffix_dedup.op4_suffix_dedup(spark, str(tmp_path)).collect()}
+    n = len(long)
+    assert len(short) < 400 < n
+    assert [rows[i].text for i in range(5)] == ["head \u00e9 tail", "\u00e8", texts[2], texts[3], ""]
+    assert [rows[i].spans for i in range(5)] == [f"7:{7 + n}", f"2:{2 + n}", "", "", ""]
+    cut = ["a\u00e9" + long, "\u00a9" + long]  # \u00e9 and \u00a9 share their last byte
+    docs = spark.createDataFrame(list(enumerate(cut)), "doc_id bigint, text string")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/more/documents.parquet")
+    more = {r.doc_id: r for r in suffix_dedup.op4_suffix_dedup(spark, f"{tmp_path}/more").collect()}
+    assert (more[0].text, more[0].spans, more[0].n_removed) == ("a\ufffd", f"2:{3 + n}", n + 1)
+    assert hashlib.sha256(more[0].text.encode()).hexdigest() != more[0].kept_sha256 == hashlib.sha256(b"a\xc3").hexdigest()
