@@ -282,6 +282,21 @@ def test_the_family_finds_what_repeats(seed):
         assert level == sorted(level) and all(family.places[i][1] >= 0 for _, i in level)
 
 
+def test_repeated_words_start_few_suffixes(monkeypatch):
+    """A place of the gram starts a suffix only if it is the last one in a window; pairs are compared once, as the later comes."""
+    r = random.Random(4)
+    texts = [prose(50 + k, 20) + " the" * r.randrange(110, 200) + prose(80 + k, 20) for k in range(12)]
+    batches, compared = [texts[:4], texts[4:8], texts[8:]], []
+    shared = suffix_dedup.shared
+    monkeypatch.setattr(suffix_dedup, "shared", lambda a, b: compared.append(1) or shared(a, b))
+    family, found = family_of(batches, 400, 50)
+    assert found == repeated(batches, 400)
+    of = collections.Counter(number for number, _, _ in family.places)
+    windows = [len(m) for m in family.marks]
+    assert max(of.values()) > 50 and all(n <= 2 + windows[k] // 4 for k, n in of.items())
+    assert len(compared) < 8 * len(family.places)
+
+
 def test_the_family_needs_its_order(monkeypatch):
     """With levels out of order the merge scan misses what repeats."""
     batches = mosaics(1, 7)
