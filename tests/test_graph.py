@@ -384,3 +384,29 @@ def test_pairs_rounded_in_tiles(spark, monkeypatch):
     uneven = spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "id bigint, embedding array<double>")
     with pytest.raises(Exception, match="differ in length"):
         similarity.similar_pairs(uneven, 0.5).collect()
+
+
+def test_vectors_are_copied_once_for_each_of_few_blocks(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "TILE", 16)
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(640, 64)).astype(np.float32)
+    df = spark.createDataFrame(pd.DataFrame({"id": range(640), "embedding": list(v.tolist())}), "id bigint, embedding array<float>")
+    sc = spark.sparkContext._jsc.sc()
+
+    def written() -> int:
+        sc.listenerBus().waitUntilEmpty(30_000)
+        return sc.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "128")  # in few partitions copies lie together and are compressed
+    try:
+        before = written()
+        got = similarity.similar_pairs(df, -2.0).toPandas()
+        # 16 blocks, not 40, and floats of 4 bytes.
+        assert 0 < written() - before < 640 * 16 * (64 * 4 + 64)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    assert len(got) == len(got[["a", "b"]].drop_duplicates()) == 640 * 639 // 2 and (got["a"] < got["b"]).all()
+    w = v.astype(np.float64)
+    unit = w / np.linalg.norm(w, axis=1, keepdims=True)
+    assert np.allclose(got["similarity"], (unit[got["a"]] * unit[got["b"]]).sum(axis=1), rtol=0, atol=1e-12)
